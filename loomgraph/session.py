@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 from collections.abc import Sequence
 from functools import reduce
 
@@ -15,6 +16,7 @@ HOT_ROWS = 200_000
 #: No more than this many hot keys are ever handled one by one (n rows hold at most n / HOT_ROWS of them;
 #: beyond the bound the hottest are salted and AQE's skew handling has the rest).
 MAX_HOT_KEYS = 256
+_SHIPPED: dict[str, str] = {}
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "loomgraph") -> SparkSession:
@@ -32,10 +34,31 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python stages find it there whatever
+    their working directory is."""
+    sc = spark.sparkContext
+    if _SHIPPED.get("application") == sc.applicationId:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="loomgraph-package-")
+    archive = os.path.join(folder, "loomgraph_package.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for root, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(root, n)
+                    z.write(full, os.path.join("loomgraph", os.path.relpath(full, here)))
+    sc.addPyFile(archive)
+    _SHIPPED["application"] = sc.applicationId
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
