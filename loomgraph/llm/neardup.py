@@ -1,14 +1,15 @@
 """Near duplicates by b-bit MinHash: texts whose sets of consecutive tokens share a given part of their union.
 
-Exact copies are folded into one representative first (an aggregation with map-side combine), so a group of
-copies costs one signature. Each representative gets HASHES minima; bands of ROWS minima make the candidate
-keys, and the low BITS bits of all minima are packed into a signature of HASHES * BITS bits. Representatives
-that share a band key meet in one shuffled join; their similarity is estimated from the number of equal b-bit
-fields, corrected for the 2**-BITS chance collisions, and pairs within SLACK of the threshold or above are
-checked exactly. Nothing is capped: every collision becomes a candidate.
+Exact copies are folded into one representative first, on hashes alone, so a group of copies costs one signature.
+Each representative gets HASHES minima, of which the low 8 bits are kept. ROWS of them make a band key; the low
+BITS bits of all are packed into a signature of HASHES * BITS bits. Representatives that share a band key meet in
+one shuffled join; their similarity is estimated from the number of equal b-bit fields, corrected for the
+2**-BITS chance collisions, and pairs within SLACK of the threshold or above are checked exactly. Nothing is
+capped: every collision becomes a candidate.
 
-With 4 minima a band and 40 bands a pair at similarity 0.6 is missed with probability 0.004, at 0.65 with
-0.0004; SLACK is more than four standard errors of the estimate.
+With 5 minima a band and 64 bands a pair at similarity 0.6 is missed with probability 0.006, at 0.65 with
+0.0004; SLACK is more than five standard errors of the estimate. Five minima a band keep texts that only share
+boilerplate apart: with four, single bands whose minima all fell on boilerplate collided by the million.
 
 Defined results
  * Null texts and texts under ``least_tokens`` tokens belong to no pair. Repeats of a row count once.
@@ -29,7 +30,7 @@ from ..operators.components import connected_components
 from ..session import cut
 
 TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]"
-ROWS, BANDS, BITS, SLACK, SEED = 4, 40, 4, 0.2, 20_240_607
+ROWS, BANDS, BITS, SLACK, SEED = 5, 64, 2, 0.2, 20_240_607
 HASHES = ROWS * BANDS
 
 
@@ -70,30 +71,33 @@ class Shingler:
 
 def _family() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    return rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, HASHES, dtype=np.uint64)
+    return rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, HASHES, dtype=np.uint32)
 
 
 def minima(hashed: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The minimum of each hash function; long sets go through in blocks, so memory stays bounded."""
     a, b = family
-    low = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint64)
-    for i in range(0, len(hashed), 4096):
-        low = np.minimum(low, ((hashed[i : i + 4096, None] * a + b) >> np.uint64(32)).min(axis=0))
+    words = (hashed >> np.uint64(32)).astype(np.uint32)
+    low = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
+    for i in range(0, len(words), 2048):
+        x = words[i : i + 2048, None] ^ b
+        x *= a
+        x ^= x >> np.uint32(16)
+        x *= np.uint32(0x7FEB352D)
+        low = np.minimum(low, x.min(axis=0))
     return low
 
 
-def band_keys(low: np.ndarray) -> np.ndarray:
-    """One 64-bit key a band; the band's number is part of it."""
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for r in range(ROWS):
-        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + low.reshape(BANDS, ROWS)[:, r])
-    return key.view(np.int64)
+def kept(low: np.ndarray) -> bytes:
+    """The low 8 bits of the minima, of which band keys are made; the lowest bits of a product vary least, so the
+    bits are folded first."""
+    return (low ^ (low >> np.uint32(15)) ^ (low >> np.uint32(7))).astype(np.uint8).tobytes()
 
 
 def packed(low: np.ndarray) -> np.ndarray:
-    """The low BITS bits of the minima, 64 / BITS to a long."""
+    """The low BITS bits of the kept minima, 64 / BITS to a long."""
     per = 64 // BITS
-    fields = (low & np.uint64((1 << BITS) - 1)).reshape(-1, per)
+    fields = (np.frombuffer(kept(low), dtype=np.uint8).astype(np.uint64) & np.uint64((1 << BITS) - 1)).reshape(-1, per)
     return (fields << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
@@ -101,30 +105,36 @@ def _sign(token: str, width: int, least_tokens: int):
     def run(batches):
         shingler, family = Shingler(token, width), _family()
         for b in batches:
-            ids, keys, signatures = [], [], []
+            ids, low8, signatures = [], [], []
             for rep, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 tokens = shingler.tokens(text)
                 if len(tokens) < max(least_tokens, width):
                     continue
                 low = minima(shingler.hashed(tokens), family)
                 ids.append(rep)
-                keys.append(band_keys(low))
+                low8.append(kept(low))
                 signatures.append(packed(low))
             if ids:
-                flat = lambda xs: pa.ListArray.from_arrays(pa.array(np.arange(len(xs) + 1, dtype=np.int32) * len(xs[0])), pa.array(np.concatenate(xs)))
-                yield pa.record_batch([pa.array(ids, pa.int64()), flat(keys), flat(signatures)], names=["rep", "keys", "signature"])
+                per = len(signatures[0])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * per), pa.array(np.concatenate(signatures)))
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(low8, pa.binary()), lists], names=["rep", "minima", "signature"])
 
     return run
 
 
+def band_keys(column: str):
+    """One key a band, from its ROWS kept minima and its number."""
+    return F.array(*[F.xxhash64(F.substring(column, k * ROWS + 1, ROWS), F.lit(k)) for k in range(BANDS)])
+
+
 def estimate(a: str, b: str):
     """The collision-corrected similarity of two packed signatures, in JVM bit operations."""
-    mask = F.lit(int("0x" + "1" * 16, 16) if BITS == 4 else sum(1 << i for i in range(0, 64, BITS)))
+    mask = F.lit(sum(1 << i for i in range(0, 63, BITS)))
 
     def unequal(x, y):
         d = x.bitwiseXOR(y)
-        for s in (1, 2) if BITS == 4 else range(1, BITS):
-            d = d.bitwiseOR(F.shiftrightunsigned(d, s))
+        for s in range(1, BITS):
+            d = d.bitwiseOR(F.shiftrightunsigned(x.bitwiseXOR(y), s))
         return F.bit_count(d.bitwiseAND(mask))
 
     missed = F.aggregate(F.zip_with(a, b, unequal), F.lit(0), lambda s, x: s + x)
@@ -159,11 +169,13 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.6,
     every row with a text, and the representatives (rep) of least_tokens tokens or more; the representative of a
     group of copies is its smallest id."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    copy = F.md5("text").alias("copy")
-    reps = rows.groupBy(copy).agg(F.min("id").alias("rep"), F.first("text").alias("text"))
-    members = rows.select("id", copy).distinct().join(reps.select("copy", "rep"), "copy").select("id", "rep")
-    signed = cut(reps.select("rep", "text").mapInArrow(_sign(token, width, least_tokens), "rep long, keys array<long>, signature array<long>"))
-    bands = signed.select("rep", F.explode("keys").alias("key"))
+    hashed = rows.select("id", F.md5("text").alias("copy"))
+    first = hashed.groupBy("copy").agg(F.min("id").alias("rep"))
+    members = hashed.distinct().join(first, "copy").select("id", "rep")
+    # the texts are shuffled once, by id; signing and both look-ups of the exact check start from that exchange
+    texts = rows.join(first.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").select(F.col("id").alias("rep"), "text").dropDuplicates(["rep"])
+    signed = cut(texts.mapInArrow(_sign(token, width, least_tokens), "rep long, minima binary, signature array<long>"))
+    bands = signed.select("rep", F.explode(band_keys("minima")).alias("key"))
     candidates = (
         bands.select("key", F.col("rep").alias("a")).join(bands.select("key", F.col("rep").alias("b")), "key")
         .where("a < b").select("a", "b").distinct()
@@ -171,7 +183,6 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.6,
     left = signed.select(F.col("rep").alias("a"), F.col("signature").alias("sa"))
     right = signed.select(F.col("rep").alias("b"), F.col("signature").alias("sb"))
     likely = candidates.join(left, "a").join(right, "b").where(estimate("sa", "sb") >= threshold - SLACK).select("a", "b")
-    texts = reps.select("rep", "text")
     read = likely.join(texts.withColumnsRenamed({"rep": "b", "text": "y"}), "b").join(texts.withColumnsRenamed({"rep": "a", "text": "x"}), "a")
     links = read.select("a", "b", "x", "y").mapInArrow(_verify(token, width, threshold), "a long, b long, similarity double")
     return links, members, signed.select("rep")
