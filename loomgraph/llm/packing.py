@@ -17,6 +17,7 @@ Defined results
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -29,20 +30,20 @@ from ..session import cut
 
 DEPTH = 3
 #: Patterns fill the capacity up to this share of it; lengths tried as partners; rounds of the solver.
-WINDOW, PARTNERS, SWEEPS = 0.01, 24, 60
+WINDOW, PARTNERS, SWEEPS = 0.01, 24, 15
 
 
 def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, int], ...]]:
-    """Shallow patterns ((length, repeats), ...) in the window below the capacity, longest length first."""
-    lengths = sorted(histogram, reverse=True)
-    present = np.array(lengths[::-1])
+    """Shallow patterns ((length, repeats), ...) in the window below the capacity, longest length first: for each
+    length a few repeats, for each of these a few partners with their repeats, and the best third length."""
+    lengths = sorted(histogram)
     slack = max(1, int(capacity * WINDOW))
-    common = sorted(sorted(lengths, key=lambda x: -histogram[x] * x)[:PARTNERS], reverse=True)
+    common = sorted(lengths, key=lambda x: -histogram[x] * x)[:PARTNERS]
     found: dict[tuple, None] = {}
 
     def largest(space: int) -> int:
-        i = int(np.searchsorted(present, space, side="right"))
-        return int(present[i - 1]) if i else 0
+        i = bisect_right(lengths, space)
+        return lengths[i - 1] if i else 0
 
     def close(head: list[tuple[int, int]], space: int) -> None:
         if 0 <= space <= slack:
@@ -51,22 +52,17 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int,
                 merged[length] += n
             found[tuple(sorted(merged.items(), reverse=True))] = None
 
-    for a in lengths:
-        for times in sorted({1, 2, capacity // a} & set(range(1, capacity // a + 1))):
+    for k, a in enumerate(lengths):
+        for times in {1, capacity // a}:
             rest = capacity - times * a
             close([(a, times)], rest)
-            if rest >= present[0]:
-                for b in {largest(rest), *[x for x in common if x <= rest][:: max(1, len(common) // 12)]}:
-                    if not b:
-                        continue
-                    for n in {rest // b, max(1, rest // b - 1)}:
-                        space = rest - n * b
-                        if space < 0:
-                            continue
-                        close([(a, times), (b, n)], space)
-                        c = largest(space)
-                        if DEPTH >= 3 and c:
-                            close([(a, times), (b, n), (c, space // c)], space - c * (space // c))
+            for b in {largest(rest), largest(rest // 2), common[k % len(common)], common[(7 * k + 3) % len(common)]}:
+                if 0 < b <= rest:
+                    n = rest // b
+                    space = rest - n * b
+                    close([(a, times), (b, n)], space)
+                    if DEPTH >= 3 and (c := largest(space)):
+                        close([(a, times), (b, n), (c, space // c)], space % c)
     return list(found)
 
 
@@ -74,23 +70,25 @@ def solve(columns: list[tuple[tuple[int, int], ...]], histogram: dict[int, int],
     """Non-negative least squares by coordinate descent: repeat counts x >= 0 that bring the patterns' lengths
     closest to the histogram, each length weighted by its tokens."""
     index = {length: i for i, length in enumerate(histogram)}
-    left = np.array([float(n) for n in histogram.values()])
-    weight = np.array([float(length) for length in histogram])
-    x = np.zeros(len(columns))
-    cells = [(np.array([index[a] for a, _ in p]), np.array([float(n) for _, n in p])) for p in columns]
-    norms = [float((weight[i] * n * n).sum()) for i, n in cells]
-    scale = max(left.max(initial=0.0), 1.0)
+    left = [float(n) for n in histogram.values()]
+    cells = [[(index[a], float(n), a * float(n)) for a, n in p] for p in columns]
+    norms = [sum(n * w for _, n, w in c) for c in cells]
+    x = [0.0] * len(columns)
+    scale = max(left, default=1.0)
     for _ in range(sweeps):
         moved = 0.0
-        for k, (i, n) in enumerate(cells):
-            step = max(-x[k], float((weight[i] * n * left[i]).sum()) / norms[k])
+        for k, c in enumerate(cells):
+            step = sum(w * left[i] for i, _, w in c) / norms[k]
+            if step < -x[k]:
+                step = -x[k]
             if step:
                 x[k] += step
-                left[i] -= step * n
+                for i, n, _ in c:
+                    left[i] -= step * n
                 moved = max(moved, abs(step))
-        if moved < 1e-4 * scale:
+        if moved < 1e-3 * scale:
             break
-    return x
+    return np.array(x)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -113,18 +111,19 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int
         for k in np.argsort(-x):
             if x[k] >= 1:
                 use(columns[k], int(x[k] + 1e-9))
-    lengths = sorted((a for a, n in left.items() if n), reverse=True)
+    lengths = sorted(a for a, n in left.items() if n)
     while lengths:  # greedy: the longest item, then always the longest that still fits
-        pattern, space = [], capacity
-        for a in lengths:
+        pattern, space, at = [], capacity, len(lengths)
+        while (at := min(at, bisect_right(lengths, space))) > 0:
+            at -= 1
+            a = lengths[at]
             n = min(space // a, left[a])
-            if n:
-                pattern.append((a, n))
-                space -= n * a
-            if space < lengths[-1]:
-                break
+            pattern.append((a, n))
+            space -= n * a
         use(tuple(pattern), min(left[a] // n for a, n in pattern))
-        lengths = [a for a in lengths if left[a]]
+        for a, _ in pattern:
+            if not left[a]:
+                del lengths[bisect_left(lengths, a)]
     return out
 
 
