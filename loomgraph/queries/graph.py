@@ -391,12 +391,6 @@ def smell_summary(spark, d):
     return smells.smell_summary(w)
 
 
-_CHURN = """, K AS (SELECT DISTINCT commit_id, project, file, author, CASE WHEN regexp_matches(commit_date, '[+-][0-9]{2}:?[0-9]{2}$')
-  THEN CAST(regexp_replace(replace(commit_date, 'T', ' '), ' ?([+-][0-9]{2}):?([0-9]{2})$', '\\1:\\2') AS TIMESTAMPTZ) AT TIME ZONE 'UTC' ELSE CAST(replace(replace(commit_date, 'T', ' '), 'Z', '') AS TIMESTAMP) END AS at FROM commits),
-H AS (SELECT project, 'file:' || file AS id, count(*) FILTER (at >= (SELECT max(at) FROM K) - INTERVAL 90 DAY) AS change_frequency, count(*) FILTER (at >= (SELECT max(at) FROM K) - INTERVAL 14 DAY) AS recent_commits,
-  count(DISTINCT nullif(author, '')) AS n_authors FROM K WHERE file IS NOT NULL GROUP BY 1, 2)"""
-
-
 @query()
 def risk_scores(spark, d):
     """Risk of every node, with its factors."""
