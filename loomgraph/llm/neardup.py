@@ -2,13 +2,13 @@
 
 Exact copies are folded into one representative first, on hashes alone, so a group of copies costs one signature.
 Each representative gets HASHES minima, of which the low 8 bits are kept. ROWS of them make a band key; the low
-BITS bits of all are packed into a signature of HASHES * BITS bits. Representatives that share a band key meet in
+BITS bits of the first SIGNED are packed into a signature of SIGNED * BITS bits. Representatives that share a band key meet in
 one shuffled join; their similarity is estimated from the number of equal b-bit fields, corrected for the
 2**-BITS chance collisions, and pairs within SLACK of the threshold or above are checked exactly. Nothing is
 capped: every collision becomes a candidate.
 
 With 5 minima a band and 64 bands a pair at similarity 0.6 is missed with probability 0.006, at 0.65 with
-0.0004; SLACK is more than five standard errors of the estimate. Five minima a band keep texts that only share
+0.0004; SLACK is four standard errors of the estimate. Five minima a band keep texts that only share
 boilerplate apart: with four, single bands whose minima all fell on boilerplate collided by the million.
 
 Defined results
@@ -32,6 +32,8 @@ from ..session import cut
 TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]"
 ROWS, BANDS, BITS, SLACK, SEED = 5, 64, 2, 0.2, 20_240_607
 HASHES = ROWS * BANDS
+#: So many of the minima go into the packed signature that the estimate is made from.
+SIGNED = 160
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -95,9 +97,9 @@ def kept(low: np.ndarray) -> bytes:
 
 
 def packed(low: np.ndarray) -> np.ndarray:
-    """The low BITS bits of the kept minima, 64 / BITS to a long."""
+    """The low BITS bits of the first SIGNED kept minima, 64 / BITS to a long."""
     per = 64 // BITS
-    fields = (np.frombuffer(kept(low), dtype=np.uint8).astype(np.uint64) & np.uint64((1 << BITS) - 1)).reshape(-1, per)
+    fields = (np.frombuffer(kept(low), dtype=np.uint8)[:SIGNED].astype(np.uint64) & np.uint64((1 << BITS) - 1)).reshape(-1, per)
     return (fields << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
@@ -123,8 +125,8 @@ def _sign(token: str, width: int, least_tokens: int):
 
 
 def band_keys(column: str):
-    """One key a band, from its ROWS kept minima and its number."""
-    return F.array(*[F.xxhash64(F.substring(column, k * ROWS + 1, ROWS), F.lit(k)) for k in range(BANDS)])
+    """One key of 48 bits a band, from its ROWS kept minima and its number."""
+    return F.array(*[F.shiftrightunsigned(F.xxhash64(F.substring(column, k * ROWS + 1, ROWS), F.lit(k)), 16) for k in range(BANDS)])
 
 
 def estimate(a: str, b: str):
@@ -138,7 +140,7 @@ def estimate(a: str, b: str):
         return F.bit_count(d.bitwiseAND(mask))
 
     missed = F.aggregate(F.zip_with(a, b, unequal), F.lit(0), lambda s, x: s + x)
-    same, chance = 1 - missed / F.lit(float(HASHES)), 2.0**-BITS
+    same, chance = 1 - missed / F.lit(float(SIGNED)), 2.0**-BITS
     return (same - chance) / (1 - chance)
 
 

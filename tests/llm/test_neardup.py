@@ -53,7 +53,7 @@ def test_estimate_is_corrected(spark):
             sa, sb = (neardup.packed(neardup.minima(neardup._mix(x), family)).tolist() for x in (a, b))
             rows.append((both / (800 - both), sa, sb))
     got = spark.createDataFrame(rows, "j double, sa array<long>, sb array<long>").select("j", neardup.estimate("sa", "sb").alias("e")).groupBy("j").avg("e").collect()
-    assert all(abs(r[0] - r[1]) < 0.03 for r in got)
+    assert all(abs(r[0] - r[1]) < 0.04 for r in got)
 
 
 def test_empty(spark):
