@@ -55,7 +55,7 @@ def normal_path(path) -> Column:
 
 
 def clamp(value, low: float, high: float) -> Column:
-    return F.least(F.greatest(_c(value), F.lit(low)), F.lit(high))
+    return F.when(_c(value).isNotNull(), F.least(F.greatest(_c(value), F.lit(low)), F.lit(high)))
 
 
 def to_int(value, default: int = 0) -> Column:

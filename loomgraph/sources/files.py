@@ -37,7 +37,7 @@ def ignore_lines(text: str) -> list[str]:
         line = line.strip()
         if not line or line.startswith(("#", "/")) or ".." in line:
             continue
-        found += [f"**/{line.rstrip('/')}/**"] if line.endswith("/") else [line if "/" in line or "*" in line else f"**/{line}", f"**/{line}/**"]
+        found += [f"**/{line.rstrip('/')}/**"] if line.endswith("/") else [line if "/" in line else f"**/{line}", f"**/{line}/**"]
     return found
 
 
@@ -50,7 +50,7 @@ def exclude(files: DataFrame, patterns=model.EXCLUDED, path: str = "path") -> Da
 
 def scan_tree(spark: SparkSession, root: str, project: str | None = None, patterns=model.EXCLUDED, max_bytes: int = model.MAX_FILE_BYTES) -> DataFrame:
     """All readable files below a folder, as project, path, lang_name, file_category, size_lines, content, mtime. Hidden
-    files come too; files over max_bytes, excluded or not valid text are left out."""
+    files come too; files over max_bytes, excluded, empty or not valid text are left out."""
     root = root.rstrip("/")
     raw = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(root)

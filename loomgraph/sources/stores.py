@@ -131,7 +131,7 @@ def git_log_with_diffs(spark: SparkSession, path: str, project: str) -> DataFram
     cut_at = F.locate("\ndiff --git", F.concat(F.lit("\n"), rest))
     body = F.when(cut_at > 0, F.substring(rest, F.lit(1), cut_at - 1)).otherwise(rest)
     diff = F.when(cut_at > 0, F.substring(rest, cut_at, F.length(rest))).otherwise("")
-    return raw.select(F.lit(project).alias("project"), F.substring(head[0], 1, 7).alias("sha"), head[1].alias("author"), head[2].alias("commit_date"), head[3].alias("message"), F.trim(body).alias("body"), diff.alias("diff"))
+    return raw.select(F.lit(project).alias("project"), F.substring(head[0], 1, 7).alias("sha"), head[1].alias("author"), head[2].alias("commit_date"), head[3].alias("message"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"), diff.alias("diff"))
 
 
 def is_stale(head: str | None, analysed: str | None) -> bool:
