@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import cut
+from ..session import cut, salted_join
 
 TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]"
 ROWS, BANDS, BITS, SLACK, SEED = 5, 64, 2, 0.2, 20_240_607
@@ -171,9 +171,9 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.6,
     every row with a text, and the representatives (rep) of least_tokens tokens or more; the representative of a
     group of copies is its smallest id."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    hashed = rows.select("id", F.md5("text").alias("copy"))
+    hashed = rows.select("id", F.unhex(F.md5("text")).alias("copy"))
     first = hashed.groupBy("copy").agg(F.min("id").alias("rep"))
-    members = hashed.distinct().join(first, "copy").select("id", "rep")
+    members = salted_join(hashed.distinct(), first, ["copy"], "inner", "id").select("id", "rep")
     # the texts are shuffled once, by id; signing and both look-ups of the exact check start from that exchange
     texts = rows.join(first.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").select(F.col("id").alias("rep"), "text").dropDuplicates(["rep"])
     signed = cut(texts.mapInArrow(_sign(token, width, least_tokens), "rep long, minima binary, signature array<long>"))
