@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from ..session import salted_join
+from ..session import cut, salted_join
 from .orphans import canonical_id
 
 KEY = ["project", "id"]
@@ -54,14 +54,14 @@ def flip_tests(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def normalize(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Canonical ids, last row of each node, first of each edge, no dangling edges, tests pointing at sources."""
-    v = latest_nodes(nodes)
-    return v, flip_tests(live_edges(first_edges(edges), v), v)
+    v = cut(latest_nodes(nodes))
+    return v, flip_tests(live_edges(cut(first_edges(edges)), v), v)
 
 
 def normalization_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per project: nodes with a doubled prefix, repeated nodes, repeated edges, dangling edges, turned tests."""
-    v = latest_nodes(nodes)
-    first = first_edges(edges)
+    v = cut(latest_nodes(nodes))
+    first = cut(first_edges(edges))
     live = live_edges(first, v)
     tests = v.where(P.is_test_path(F.coalesce("file", "label", F.lit("")))).select("project", F.col("id").alias("target"))
     turned = live.where("edge_type = 'tested_by'").join(tests, ["project", "target"], "left_semi")
@@ -132,7 +132,7 @@ def resolve_ids(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (first of each key) with an end that is no node; missing_source and missing_target say which."""
     ids = nodes.select("project", "id").withColumn("_there", F.lit(True))
-    e = first_edges(edges)
+    e = cut(first_edges(edges))
     e = salted_join(e, ids.withColumnsRenamed({"id": "source", "_there": "_s"}), ["project", "source"], "left", "target")
     e = salted_join(e, ids.withColumnsRenamed({"id": "target", "_there": "_t"}), ["project", "target"], "left", "source")
     return e.where(F.col("_s").isNull() | F.col("_t").isNull()).select("project", "source", "target", "edge_type", F.col("_s").isNull().alias("missing_source"), F.col("_t").isNull().alias("missing_target"))

@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 def load(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The normalised graph, written once to the checkpoint folder because every query reads it several times."""
     v = cut(graph.latest_nodes(table(spark, d, "nodes").select(*_COLUMNS)))
-    return v, cut(graph.flip_tests(graph.live_edges(graph.first_edges(table(spark, d, "edges")), v), v))
+    return v, cut(graph.flip_tests(graph.live_edges(cut(graph.first_edges(table(spark, d, "edges"))), v), v))
 
 
 def domain_of(v: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def test_tools(spark, built, tmp_path):
 def test_oracle_names_are_queries():
     import __spark_entry__ as e
 
-    assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) >= 100
+    assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) >= 90
 
 
 def test_entry(spark):
