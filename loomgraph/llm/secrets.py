@@ -131,6 +131,17 @@ def _decoded_text(value: str) -> str | None:
     return text if text.isprintable() else None
 
 
+#: Short words without a vowel that are words all the same.
+_NO_VOWELS = {"db", "js", "ts", "css", "html", "sql", "http", "https", "ssh", "tls", "ssl", "pwd", "jwt", "ldap", "xml", "csv", "vpn", "ftp", "gcp", "aws", "cfg", "tmp", "src", "svc", "prod", "dns", "tcp", "rpc", "grpc", "kms", "ssm", "md", "pg"}
+
+
+def _is_random(part: str) -> bool:
+    """Letters that are no word: cases mixed at random, or no vowel."""
+    if len(part) >= 3 and not re.fullmatch(r"[a-z]+|[A-Z]+|[A-Z][a-z]+|[a-z]{2,}(?:[A-Z][a-z]{2,})+|(?:[A-Z][a-z]{2,})+", part):
+        return True
+    return len(part) >= 2 and part.islower() and not re.search(r"[aeiouy]", part) and part not in _NO_VOWELS
+
+
 def is_secret_value(value: str) -> bool:
     """Whether a literal given to a secret's name can itself give access."""
     v = value.strip()
@@ -140,6 +151,8 @@ def is_secret_value(value: str) -> bool:
         return False
     if re.fullmatch(r"[A-Za-z]+", v):  # one word or identifier, unless the cases are mixed at random
         return not re.fullmatch(r"[a-z]+|[A-Z]+|[A-Z][a-z]+|[a-z]{2,}(?:[A-Z][a-z]{2,})+|(?:[A-Z][a-z]{2,})+", v) and len(v) >= 8
+    if re.fullmatch(r"[A-Za-z]+(?:[._/-][A-Za-z]+)+", v) and len(v) >= 8 and any(_is_random(part) for part in re.split(r"[._/-]", v)):
+        return True
     if re.fullmatch(r"[A-Za-z]+(?:-[A-Za-z]+)+", v) and re.fullmatch(r"[a-z-]+|[A-Z-]+", v):
         return v.count("-") >= 3
     if re.fullmatch(r"[A-Za-z]+(?:[._/][A-Za-z]+)*[./]?|\.{0,2}/?[a-z]+(?:/[a-z]+)*/?", v) and not re.search(r"[a-z][A-Z]{2,}[a-z]|[A-Z][a-z][A-Z]", v):

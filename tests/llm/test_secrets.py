@@ -37,6 +37,10 @@ def test_others(text):
     assert hits(text) == [] and secrets.mask(text) == text
 
 
+def test_words_and_random_letters():
+    assert hits("kennwort: 'labwMH.hIy'\nkennwort: 'trabps-tn'\npwd: 'db-credentials'\npwd: 'label.password'\npwd: api-key-header") == [1, 2]
+
+
 def test_pieces_begin_on_the_first_line():
     text = 'const pwd = "glpat-y5OQCpu3XXl" +\n  "2VeqEFJbq";\nadminPw = (\n    "gho_bDBVweAXzbNI7lGBVZo3vMBl9q"\n    "DgdDh8Nm17K"\n)'
     assert hits(text) == [1, 4]
