@@ -235,9 +235,10 @@ def method_count(body) -> Column:
 
 
 def call_sites(functions: DataFrame, key: str = "fn_id", body: str = "body") -> DataFrame:
-    """key, callee, n: names followed by a parenthesis, comments and literals taken out first."""
+    """key, callee, n: names followed by a parenthesis, comments and literals taken out first. Possessive, as else a literal
+    of 2,000 characters overflows the stack; nothing given back could end the literal, so the matches are the same."""
     text = F.col(body)
-    for pattern, to in ((r"//[^\n]*", ""), (r"/\*[\s\S]*?\*/", ""), (r"`(?:\\.|[^`\\])*`", "``"), (r"'(?:\\.|[^'\\])*'", "''"), (r'"(?:\\.|[^"\\])*"', '""')):
+    for pattern, to in ((r"//[^\n]*", ""), (r"/\*[\s\S]*?\*/", ""), (r"`(?:\\.|[^`\\])*+`", "``"), (r"'(?:\\.|[^'\\])*+'", "''"), (r'"(?:\\.|[^"\\])*+"', '""')):
         text = F.regexp_replace(text, pattern, to)
     names = F.explode(F.regexp_extract_all(text, F.lit(r"(?:\.\s*)?\b([A-Za-z_$][\w$]*)\s*\("), F.lit(1))).alias("callee")
     return functions.select(key, names).where(~F.col("callee").isin(*NO_CALLS)).groupBy(key, "callee").agg(F.count(F.lit(1)).alias("n"))

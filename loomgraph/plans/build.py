@@ -25,7 +25,7 @@ class Built:
 
 
 def skeleton(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges that follow from the text alone: files, their functions and classes, contains and imports.
+    """Nodes and edges that follow from the text alone: files, their functions and classes, contains, imports and calls.
     files: (project, path, lang_name, content, size_lines)."""
     known = files.where("content is not null and path is not null").dropDuplicates(["project", "path"])
     kinds = F.when(P.file_category(F.col("language")) == "config", "config").when(P.file_category(F.col("language")) == "document", "document").otherwise("file")
@@ -42,14 +42,35 @@ def skeleton(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     nodes = graph.latest_nodes(file_nodes.unionByName(symbol_nodes))
     contains = found.select("project", F.concat(F.lit("file:"), F.col("path")).alias("source"), own.alias("target"), F.lit("contains").alias("edge_type")).distinct()
-    imports = extract.import_edges(extract.import_targets(extract.imports(known), known))
-    edges = contains.unionByName(imports).withColumns({"weight": F.lit(None).cast("double"), "ord": F.lit(0).cast("long"), "edge_id": F.xxhash64("source", "target", "edge_type")})
+    targets = cut(extract.import_targets(extract.imports(known), known))
+    plain = contains.unionByName(extract.import_edges(targets)).withColumn("weight", F.lit(None).cast("double"))
+    edges = plain.unionByName(call_edges(found, known, targets)).withColumns({"ord": F.lit(0).cast("long"), "edge_id": F.xxhash64("source", "target", "edge_type")})
     return nodes, edges
 
 
-def analyse(nodes: DataFrame, edges: DataFrame, commits: DataFrame | None = None) -> Built:
-    """Layers, history, cycles, smells and risk of a normalised graph, in the order their inputs need: history and
-    layers, then smells, then blast radius, then risk."""
+def function_bodies(found: DataFrame, files: DataFrame) -> DataFrame:
+    """project, path, name, line_no, body: the lines of each function of symbol_ends(). Each text meets its functions once."""
+    spans = found.where("kind = 'function'").groupBy("project", "path").agg(F.collect_list(F.struct("name", "line_no", "end_line")).alias("spans"))
+    body = lambda rows, x: F.array_join(F.slice(rows, x["line_no"], x["end_line"] - x["line_no"] + 1), "\n")
+    # the outer lambda binds the lines, so that a text is split once and not once a function
+    of = F.transform(F.array(F.split("content", "\n")), lambda rows: F.transform("spans", lambda x: F.struct(x["name"].alias("name"), x["line_no"].alias("line_no"), body(rows, x).alias("body"))))
+    return spans.join(files.select("project", "path", "content"), ["project", "path"]).select("project", "path", F.inline(of[0]))
+
+
+def call_edges(found: DataFrame, files: DataFrame, targets: DataFrame) -> DataFrame:
+    """Calls between functions as edges, weighted by their number; of functions of one name in a file the first that has
+    the call counts. Calls of the own name are no edges."""
+    place = F.struct("project", "path", F.col("name").alias("caller"), "line_no").alias("at")
+    sites = extract.call_sites(function_bodies(found, files).select(place, "body"), "at").select("at.*", "callee", "n").where("caller <> callee")
+    calls = sites.groupBy("project", "path", "caller", "callee").agg(F.min_by("n", "line_no").alias("n"))
+    own = lambda path, name: F.concat(F.lit("function:"), F.col(path), F.lit(":"), F.col(name))
+    return extract.resolve_calls(calls, found, targets).select("project", own("path", "caller").alias("source"), own("to_path", "callee").alias("target"), F.lit("calls").alias("edge_type"), F.col("n").cast("double").alias("weight"))
+
+
+def analyse(nodes: DataFrame, edges: DataFrame, commits: DataFrame | None = None, files: DataFrame | None = None, domain_of: DataFrame | None = None) -> Built:
+    """Layers, domains, security, history, cycles, smells and risk of a normalised graph, in the order their inputs need:
+    history, layers and domains, then smells, then blast radius, then risk. files: the texts of skeleton(), which the
+    security pass reads. domain_of: (project, id, domain) known besides the folders, such as domains of functions."""
     out = Built(cut(nodes), cut(edges))
     empty_changes = out.nodes.sparkSession.createDataFrame([], "project string, id string, change_frequency int, recent_commits int, n_authors int")
 
@@ -60,6 +81,12 @@ def analyse(nodes: DataFrame, edges: DataFrame, commits: DataFrame | None = None
             out.problems[name] = str(e)[:500]
 
     attempt("layers", lambda: smells.path_layers(out.nodes))
+    attempt("domains", lambda: cut(domains(out.nodes, out.edges)))
+    if "domains" in out.tables:
+        of_folders = out.tables["domains"].select(*KEY, "domain")
+        domain_of = of_folders if domain_of is None else of_folders.unionByName(domain_of.select(*KEY, "domain")).distinct()
+    if files is not None:
+        attempt("security", lambda: cut(security(out.nodes, files)))
     changes = empty_changes
     if commits is not None:
         timed = history.commit_times(commits)
@@ -69,7 +96,7 @@ def analyse(nodes: DataFrame, edges: DataFrame, commits: DataFrame | None = None
             recent = lambda days: F.count_if(F.col("at") >= F.lit(now) - F.expr(f"INTERVAL {days} DAYS")).cast("int")
             changes = timed.groupBy("project", F.concat(F.lit("file:"), F.col("file")).alias("id")).agg(recent(90).alias("change_frequency"), recent(14).alias("recent_commits"), F.countDistinct(F.when(F.col("author") != "", F.col("author"))).cast("int").alias("n_authors"))
     attempt("cycles", lambda: cut(traversal.simple_cycles(out.edges)))
-    attempt("smells", lambda: cut(smells.all_smells(out.nodes, out.edges, changes)))
+    attempt("smells", lambda: cut(smells.all_smells(out.nodes, out.edges, changes, domain_of)))
     attempt("blast", lambda: cut(traversal.blast_radius(out.nodes, out.edges)))
     if "blast" in out.tables:
         circular = out.tables["cycles"].select("project", F.explode("cycle").alias("id")).distinct() if "cycles" in out.tables else None
@@ -79,6 +106,13 @@ def analyse(nodes: DataFrame, edges: DataFrame, commits: DataFrame | None = None
     return out
 
 
+def security(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """project, id and security_findings() of the texts of the file nodes."""
+    texts = files.where("content is not null and path is not null").dropDuplicates(["project", "path"]).select("project", F.concat(F.lit("file:"), F.col("path")).alias("id"), "content")
+    scanned = texts.join(nodes.where("node_type = 'file'").select(*KEY), KEY, "left_semi").select(F.struct(*KEY).alias("at"), "content")
+    return extract.security_findings(scanned, "at").select("at.*", "rule", "category", "severity", "line", "snippet", "pattern", "description")
+
+
 def domains(nodes: DataFrame, edges: DataFrame, most: int = 8, least_files: int = 2, steps: int = 8) -> DataFrame:
     """project, domain, n_files, step_no, id, weight: folders of the second path step with two files or more, the ``most``
     largest of each project; each has one flow of its files in dependency order, evenly weighted from 0 to 1."""

@@ -28,6 +28,33 @@ def test_build_end_to_end(built):
     assert len(flow) == 4 and flow[0].weight == 0 and flow[-1].weight == 1
 
 
+def test_calls_domains_and_security(spark):
+    index = "import { b } from './b';\nexport function main() {\n  b(); b(); own('" + "x" * 20_000 + "'); main();\n}\nfunction own() {\n  eval(a);\n}\n"
+    rows = [("p", "src/core/index.ts", None, index, 7), ("p", "src/core/b.ts", None, "export function b() { return hidden(); }\nfunction own() { return 1; }\n", 2), ("p", "src/core/c.ts", None, "function hidden() { return b(); }\n", 1), ("p", "a.yaml", None, "eval(x)", 1)]
+    files = spark.createDataFrame(rows, FILES)
+    v, e = build.skeleton(files)
+    calls = {(r.source, r.target, r.weight) for r in e.where("edge_type = 'calls'").collect()}
+    main = "function:src/core/index.ts:main"
+    assert calls == {(main, "function:src/core/b.ts:b", 2.0), (main, "function:src/core/index.ts:own", 1.0)}
+    place = [("p", r.id, "d" + r.label) for r in v.where("node_type = 'function'").collect()]
+    extra = spark.createDataFrame([("p", "function:src/core/index.ts:third", "dz")] + place, "project string, id string, domain string")
+    e = e.unionByName(spark.createDataFrame([("p", "file:src/core/index.ts", "function:src/core/index.ts:third", "contains")], "project string, source string, target string, edge_type string"), allowMissingColumns=True)
+    got = build.analyse(v, e, files=files, domain_of=extra)
+    assert not got.problems
+    assert [(r.id, r.category, r.line) for r in got.tables["security"].collect()] == [("file:src/core/index.ts", "unsafe_eval", 6)]
+    assert got.tables["domains"].count() == 3
+    # main, own and third lie in three domains
+    place = {r.node_id for r in got.tables["smells"].where("category = 'low_cohesion'").collect()}
+    assert place == {"file:src/core/index.ts"}
+
+
+def test_duplicate_logic_of_called_functions(spark):
+    callers = "".join(f"export function c{i}() {{\n  a();\n  b();\n}}\n" for i in range(6))
+    v, e = build.skeleton(spark.createDataFrame([("p", "src/x.ts", None, callers + "function a() {\n}\nfunction b() {\n}\n", 28)], FILES))
+    found = build.analyse(v, e).tables["smells"].where("category = 'duplicate_logic'").collect()
+    assert {r.node_id.split(":")[-1] for r in found} == {"a", "b"}
+
+
 def test_tools(spark, built, tmp_path):
     v = built.nodes.selectExpr("*", "cast(null as double) as risk_score", "cast(null as string) as summary")
     layers_of = v.selectExpr("project", "id", "'core' as layer")
