@@ -48,6 +48,13 @@ def source_imports(spark, d):
     return found.where(F.col("language").isin("python", "typescript", "javascript", "java", "kotlin"))
 
 
+@query()
+def all_imports(spark, d):
+    """Imports of all files, their language by name or else by extension. Without SQL: that of source_imports asks for the
+    files whose language the table names."""
+    return extract.imports(sources(spark, d))
+
+
 @query()
 def import_edges(spark, d):
     """Imports that lead to files of the project, as edges."""

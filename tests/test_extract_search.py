@@ -105,3 +105,12 @@ def test_history(spark):
     log = spark.createDataFrame([("d", 1, "## [1.2.0]"), ("d", 2, "- thing (abcdef1)"), ("d", 3, "## 1.1.0"), ("d", 4, "- other abcdef12")], "doc string, line_no int, line string")
     shas = spark.createDataFrame([("abcdef1",)], "sha string")
     assert sorted((r.version, r.entry) for r in history.changelog_entries(log, shas).collect()) == [("1.1.0", "- other abcdef12"), ("1.2.0", "- thing (abcdef1)")]
+
+
+def test_all_imports_of_files_without_a_language(spark, tmp_path):
+    import __spark_entry__ as e
+
+    rows = [(1, "p", "a.ts", None, "import x from './x';", 1), (2, "p", "b.py", "", "import os", 1), (3, "p", "c.py", "Python", "import re", 1), (4, "p", "d.go", None, 'import "fmt"', 1), (5, "p", "e.rb", "Ruby", "require 'set'", 1), (6, "p", "f.rs", None, None, 1)]
+    spark.createDataFrame(rows, "file_id long, project string, path string, lang_name string, content string, size_lines int").write.parquet(str(tmp_path / "source_files.parquet"))
+    got = {(r.path, r.language, r.raw) for r in e.queries()["all_imports"](spark, str(tmp_path)).collect()}
+    assert got == {("a.ts", "typescript", "./x"), ("b.py", "python", "os"), ("c.py", "python", "re"), ("d.go", "go", "fmt"), ("e.rb", "ruby", "set")}
