@@ -11,6 +11,7 @@ from .. import model
 from ..functions.text import slug, to_int, unit
 
 KEY = ["project", "id"]
+EDGE_KEY = ["project", "source", "target", "edge_type"]
 
 
 def merge_packages(parts: dict[str, tuple[DataFrame, DataFrame]], project: str) -> tuple[DataFrame, DataFrame]:
@@ -21,11 +22,17 @@ def merge_packages(parts: dict[str, tuple[DataFrame, DataFrame]], project: str)
         edges.append(e.withColumns({c: F.concat_ws(":", F.lit(name), F.col(c)) for c in ("source", "target")}).withColumn("project", F.lit(project)))
     v = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), nodes)
     e = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), edges)
-    return _first(v, KEY), _first(e, ["project", "source", "target", "edge_type"])
+    return _first(v, KEY), _first(e, EDGE_KEY)
 
 
-def _first(df: DataFrame, key: list[str]) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy("ord")
+def merge_projects(nodes: DataFrame, edges: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
+    """merge_packages() where each project of one table is a package: no list of them is needed, however many there are."""
+    named = lambda df, *ids: df.withColumns({c: F.concat_ws(":", "project", c) for c in ids}).withColumn("project", F.lit(project))
+    return _first(named(nodes, "id"), KEY), _first(named(edges, "source", "target"), EDGE_KEY, ("edge_id", "weight"))
+
+
+def _first(df: DataFrame, key: list[str], ties: tuple[str, ...] = ()) -> DataFrame:
+    w = Window.partitionBy(*key).orderBy("ord", *ties)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

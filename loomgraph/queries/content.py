@@ -328,10 +328,17 @@ def enrich_merge(spark, d):
 def merge_subgraphs(spark, d):
     """The graphs of all projects as one, ids prefixed."""
     v, e = load(spark, d)
-    one = v.withColumn("id", F.concat_ws(":", "project", "id")).withColumn("project", F.lit("all"))
-    none = e.limit(0)
-    merged, _ = merge.merge_packages({"": (one, none)}, "all")
-    return merged.select("project", F.regexp_replace("id", "^:", "").alias("id"), "label")
+    merged, _ = merge.merge_projects(v, e, "all")
+    return merged.select("project", "id", "label")
+
+
+@query(GRAPH_SQL + """ SELECT 'all' AS project, project || ':' || source AS source, project || ':' || target AS target, edge_type, weight FROM E
+QUALIFY row_number() OVER (PARTITION BY project, source, target, edge_type ORDER BY E.ord NULLS FIRST, E.edge_id NULLS FIRST, E.weight NULLS FIRST) = 1""")
+def merge_subgraph_edges(spark, d):
+    """The edges of the graphs of all projects as one, ids of both ends prefixed, the first of repeats."""
+    v, e = load(spark, d)
+    _, merged = merge.merge_projects(v, e, "all")
+    return merged.select("project", "source", "target", "edge_type", "weight")
 
 
 @query(f"""SELECT project, {_CANON.format('id')} AS id, coalesce(nullif(label, ''), nullif(node_name, ''), nullif(regexp_extract(id, '([^/:]+)$', 1), ''), id) AS label, CASE WHEN complexity IN ('simple', 'moderate', 'complex') THEN complexity END AS complexity,

@@ -114,3 +114,17 @@ def test_all_imports_of_files_without_a_language(spark, tmp_path):
     spark.createDataFrame(rows, "file_id long, project string, path string, lang_name string, content string, size_lines int").write.parquet(str(tmp_path / "source_files.parquet"))
     got = {(r.path, r.language, r.raw) for r in e.queries()["all_imports"](spark, str(tmp_path)).collect()}
     assert got == {("a.ts", "typescript", "./x"), ("b.py", "python", "os"), ("c.py", "python", "re"), ("d.go", "go", "fmt"), ("e.rb", "ruby", "set")}
+
+
+def test_merge_projects_keeps_edges(spark, sf):
+    import __spark_entry__ as e
+    from loomgraph.operators import merge
+
+    v = spark.createDataFrame([("p", "a", 1), ("p", "b", 2), ("q", "a", 3)], "project string, id string, ord long")
+    x = spark.createDataFrame([("p", "a", "b", "calls", 2.0, 2, 1), ("p", "a", "b", "calls", 1.0, 1, 2), ("q", "a", "a", "calls", 3.0, 1, 3)], "project string, source string, target string, edge_type string, weight double, ord long, edge_id long")
+    nodes, edges = merge.merge_projects(v, x, "all")
+    assert {(r.project, r.id) for r in nodes.collect()} == {("all", "p:a"), ("all", "p:b"), ("all", "q:a")}
+    assert {(r.project, r.source, r.target, r.weight) for r in edges.collect()} == {("all", "p:a", "p:b", 1.0), ("all", "q:a", "q:a", 3.0)}
+    ids = {r.id for r in e.queries()["merge_subgraphs"](spark, sf).collect()}
+    merged = e.queries()["merge_subgraph_edges"](spark, sf).collect()
+    assert merged and {y for r in merged for y in (r.source, r.target)} <= ids
