@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine
+from ..session import cut
 
+#: No more queries than this are broadcast at once.
+QUERY_BLOCK = 10_000
 # Words left out of the vocabulary.
 STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "for", "on", "with", "is", "are", "was", "be", "by", "at", "as", "it", "this", "that", "from")
 WORD = r"[a-z0-9]+"
@@ -90,10 +95,20 @@ def term_search(df: DataFrame, key: list[str], text: Column, query: str, limit:
 
 def vector_search(vectors: DataFrame, key: str, vector: str, queries: DataFrame, limit: int = 10, threshold: float = 0.25) -> DataFrame:
     """query, key, score: the best vectors for each query (query, q_vector). The queries are a stated set and go to every
-    block of vectors; each block keeps its best ``limit`` before the shuffle."""
+    block of vectors; each block keeps its best ``limit`` before the shuffle. More than QUERY_BLOCK queries are split by
+    hash, and the results of a block are written before the next block is sent, so that only one is held at a time."""
+    asked = queries.count()
+    if asked > QUERY_BLOCK:
+        n = -(-asked // (QUERY_BLOCK // 2))  # half full on average: a hash doesn't fill all blocks alike
+        blocks = [queries.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i) for i in range(n)]
+        return reduce(DataFrame.unionByName, [cut(_best(vectors, key, vector, b, limit, threshold)) for b in blocks])
+    return _best(vectors, key, vector, queries, limit, threshold)
+
+
+def _best(vectors: DataFrame, key: str, vector: str, queries: DataFrame, limit: int, threshold: float) -> DataFrame:
     from pyspark.sql import Window
 
-    pairs = vectors.select(key, vector).join(F.broadcast(queries.limit(10_000)), F.lit(True))
+    pairs = vectors.select(key, vector).join(F.broadcast(queries), F.lit(True))
     scored = pairs.select("query", key, F.round(cosine(vector, "q_vector"), 6).alias("score")).where(F.col("score") >= threshold)
     w = Window.partitionBy("query").orderBy(F.desc("score"), key)
     return scored.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit)

@@ -128,3 +128,11 @@ def test_merge_projects_keeps_edges(spark, sf):
     ids = {r.id for r in e.queries()["merge_subgraphs"](spark, sf).collect()}
     merged = e.queries()["merge_subgraph_edges"](spark, sf).collect()
     assert merged and {y for r in merged for y in (r.source, r.target)} <= ids
+
+
+def test_vector_search_answers_every_query(spark):
+    queries = spark.range(10_500).selectExpr("id as query", "array(cast(id + 1 as double), 1.0d) as q_vector")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], "key long, vec array<double>")
+    got = search.vector_search(vectors, "key", "vec", queries)
+    assert got.select("query").distinct().count() == 10_500 and got.count() == 21_000
+    assert {r.pos for r in got.where("query = 7").collect()} == {1, 2}
