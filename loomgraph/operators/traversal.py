@@ -125,13 +125,13 @@ def _shares(nodes: DataFrame, counted: DataFrame) -> DataFrame:
     return joined.select(*KEY, n.cast("long").alias("n_dependents"), F.round(F.least(n / F.col("n_nodes"), F.lit(1.0)), 6).alias("blast"))
 
 
-def blast_radius_approx(nodes: DataFrame, edges: DataFrame, types: tuple[str, ...] | None = None, rounds: int = 64, bits: int = 11) -> DataFrame:
+def blast_radius_approx(nodes: DataFrame, edges: DataFrame, types: tuple[str, ...] | None = None, bits: int = 11) -> DataFrame:
     """blast_radius() with a distinct-count sketch for each node passed along the edges until nothing grows: one sketch
     an edge and round, for graphs whose closure is too large to list."""
     step = cut(of_types(edges, types).select("project", F.col("source").alias("up"), F.col("target").alias("id")).distinct())
     own = step.groupBy(*KEY).agg(F.hll_sketch_agg("up", bits).alias("sketch"))
     state = cut(own.withColumn("size", F.hll_sketch_estimate("sketch")))
-    for _ in range(rounds):
+    while True:
         sent = step.join(state.select("project", F.col("id").alias("up"), "sketch"), ["project", "up"]).select(*KEY, "sketch")
         grown = sent.unionByName(state.select(*KEY, "sketch")).groupBy(*KEY).agg(F.hll_union_agg("sketch").alias("sketch")).withColumn("size", F.hll_sketch_estimate("sketch"))
         grown = cut(grown)

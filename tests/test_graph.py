@@ -127,3 +127,10 @@ def test_empty_graph(spark):
     assert n.count() == m.count() == 0
     assert traversal.reachable(e, v).count() == traversal.blast_radius(v, e).count() == traversal.simple_cycles(e).count() == 0
     assert graph.treemap(v).count() == graph.path_tree(v).count() == 0
+
+
+def test_blast_radius_approx_follows_long_paths(spark):
+    v = spark.range(71).selectExpr("'p' as project", "cast(id as string) as id")
+    e = spark.range(70).selectExpr("'p' as project", "cast(id as string) as source", "cast(id + 1 as string) as target", "'imports' as edge_type")
+    got = {r.id: r.n_dependents for r in traversal.blast_radius_approx(v, e).collect()}
+    assert got["0"] == 0 and got["1"] == 1 and 68 <= got["70"] <= 72
