@@ -59,6 +59,10 @@ FORMATS = [
 ]
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_ARMOUR_LINE = re.compile(r"((?:(?!\\[nr])[^\r\n])*)(?:\r?\n|\r|\\[nr]|\Z)")
+_BASE64_LINE = re.compile(r"[A-Za-z0-9+/=]+")
+_ARMOUR_HEADER = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):", re.I)
+_AROUND = " \t\"'`,;.#*>|()\\+-"
 _PUBLIC = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*(?:PUBLIC KEY|CERTIFICATE(?: REQUEST)?)-----.*?-----END (?:[A-Z0-9]+ )*(?:PUBLIC KEY|CERTIFICATE(?: REQUEST)?)-----", re.S)
 _IMAGE = re.compile(r"data:[\w/+.-]+;base64,[A-Za-z0-9+/=]*")
 _ADDRESS = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://([^\s:/?#@\"'`<>]*):([^\s/@\"'`<>]+)@[A-Za-z0-9\[$]")
@@ -234,6 +238,21 @@ def _layers(token: str) -> Iterator[bytes]:
         pass
 
 
+def _armour_end(text: str, start: int) -> int:
+    """Where a key block without an END line ends: after the last of the following lines, real or escaped, that are base64
+    or armour, between quotes, comment signs and the like. At least 4,096 characters, as a key may be written otherwise."""
+    end = start
+    for m in _ARMOUR_LINE.finditer(text, start):
+        line = m.group(1).strip(_AROUND)
+        if line and not _BASE64_LINE.fullmatch(line) and not _ARMOUR_HEADER.match(line):
+            break
+        if line:
+            end = m.end(1)
+        if m.end() == len(text):
+            break
+    return max(end, min(len(text), start + 4096))
+
+
 class _Scan:
     """One text: spans (start, end, kind) of credentials."""
 
@@ -254,7 +273,7 @@ class _Scan:
         text = self.text
         for m in _PEM.finditer(text):
             tail = _PEM_END.search(text, m.end())
-            end = tail.start() if tail else min(len(text), m.end() + 4096)
+            end = tail.start() if tail else _armour_end(text, m.end())
             body = re.sub(r"\\[nrt]|[^A-Za-z0-9+/=*xX]", "", text[m.end() : end])
             if len(body) >= 16 and len(set(body)) > 6:
                 self.spans.append((m.start(), end, "private key"))

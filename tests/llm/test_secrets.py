@@ -67,3 +67,15 @@ def test_frames(spark):
     masked = secrets.redacted(df).collect()
     assert len(masked) == 5 and sum(r.n_masked for r in masked) == 3
     assert secrets.findings(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sep", ["\n", "\\n", '" +\n  "'])
+def test_long_key_without_an_end_is_masked_whole(sep):
+    import random
+
+    r = random.Random(1)
+    rows = ["".join(r.choices("ABCDEFabcdefghij0123456789+/", k=64)) for _ in range(150)]
+    text = 'k = "' + "-----BEGIN RSA PRIVATE KEY-----" + sep + sep.join(rows) + '"\nprint("the rest of the file")\n'
+    spans = [x for x in secrets._Scan(text).spans if x[2] == "private key"]
+    assert spans and all(any(a <= text.index(row) and text.index(row) + 64 <= b for a, b, _ in spans) for row in rows)
+    assert max(b for _, b, _ in spans) <= text.index("print(")
