@@ -89,6 +89,12 @@ def spread(df: DataFrame, *columns: str | Column) -> DataFrame:
     return df.repartition(n, *columns)
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """A scan as it is when its splits keep every core busy; a few large files are spread like in spread()."""
+    enough = df._jdf.queryExecution().toRdd().getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism
+    return df if enough else spread(df)
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list[tuple]:
     """The at most MAX_HOT_KEYS key tuples holding hot_rows rows or more. The counts are combined map-side,
     so a key with a third of all rows costs one row per map task; only the bounded list is brought back."""
@@ -99,13 +105,15 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> li
     return [tuple(row[k] for k in keys) for row in found if all(row[k] is not None for k in keys)]
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, spread_by: str, salts: int = 32, hot_rows: int = HOT_ROWS) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, spread_by: str, salts: int = 32, hot_rows: int = HOT_ROWS, hot: list[tuple] | None = None) -> DataFrame:
     """Sort-merge join of a large left side that may hold hot keys with a right side of one row per key.
 
     Rows of a hot key are spread over ``salts`` partitions by the hash of ``spread_by``; only the right rows
     of hot keys are copied ``salts`` times (at most MAX_HOT_KEYS * salts rows). Without hot keys this is the
-    plain join. how: inner, left, left_semi or left_anti (sides whose left rows each find their own copy)."""
-    hot = hot_keys(left.select(*keys), keys, hot_rows)
+    plain join. how: inner, left, left_semi or left_anti (sides whose left rows each find their own copy). hot: the
+    hot keys where they are known, which saves the count over the left side."""
+    if hot is None:
+        hot = hot_keys(left.select(*keys), keys, hot_rows)
     if not hot:
         return left.join(right.hint("merge"), list(keys), how)
     is_hot = reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (F.col(k) == F.lit(v) for k, v in zip(keys, row))) for row in hot))
