@@ -59,3 +59,42 @@ def test_estimate_is_corrected(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "fn_id long, body string")
     assert neardup.pairs(*neardup.near_duplicates(df, "fn_id", "body")).count() == 0
+
+
+def boilerplate_corpus(n, share=60, own=90):
+    rng = random.Random(5)
+    head = [f"b{k}" for k in range(share)]
+    texts = []
+    for i in range(0, n, 2):
+        tail = [f"u{i}_{k}" for k in range(own)]
+        texts.append((i, " ".join(head + tail)))
+        tail[rng.randrange(own)] = "edited"
+        texts.append((i + 1, " ".join(head + tail)))
+    return texts
+
+
+def test_boilerplate_bands_make_no_all_pairs(spark):
+    """Bands under which every text falls are met by prefixes: all true pairs are found, and few others are looked at."""
+    texts = boilerplate_corpus(700)
+    df = spark.createDataFrame(texts, "fn_id long, body string")
+    links, _, _ = neardup.near_duplicates(df, "fn_id", "body")
+    assert {(r.a, r.b) for r in links.collect()} == exact(texts)
+
+
+def test_prefixes_are_exact(spark):
+    texts = [(i, t) for i, t in corpus() if i is not None and t and len(t) > 200][:150]
+    texts = list({i: (i, t) for i, t in texts}.values())
+    df = spark.createDataFrame(texts, "rep long, text string")
+    met = {(r.a, r.b) for r in neardup._by_prefix(df.select("rep"), df, neardup.TOKEN, 3, 0.6).collect()}
+    assert exact(texts) <= met
+
+
+def test_frequent_keys_leave_the_stream(spark):
+    """One band shared by 50,000 texts gives one row a text, not their pairs."""
+    rng = np.random.default_rng(2)
+    bands = rng.integers(0, 256, (50_000, neardup.BANDS * 6), dtype=np.uint8)
+    bands[:, :6] = 7
+    df = spark.createDataFrame([(i, bytearray(b.tobytes())) for i, b in enumerate(bands)], "rep long, bands binary").repartition(8)
+    met = df.mapInArrow(neardup._spread_keys, "key long, rep long").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(neardup._meet(neardup.HOT), "a long, b long")
+    assert met.where("b is null").select("a").distinct().count() == 50_000
+    assert met.where("b is not null").count() < 1000
