@@ -6,8 +6,9 @@ record would hold the term with probability 1 - exp(-cf / N), so the expected va
 the residual observed - expected is large for terms concentrated in few records. score = tf * residual, and
 tf_idf = tf * observed, rounded to 9 decimals.
 
-Records are reduced to their last row first. Counting terms of a record reuses the partitioning of that step; df
-and cf are combined map-side, and terms shared by very many records are salted in the join (session.salted_join).
+Records are reduced to their last row first. Counting terms of a record reuses the partitioning of that step, and df
+and cf are combined map-side. The FREQUENT most frequent terms come back to the records by a broadcast of bounded
+size, so the bulk of the occurrences is never shuffled; only rarer terms are joined by shuffle, and none of those is hot.
 
 Defined results
  * Terms are the maximal runs of Unicode letters and decimal digits of the text, lower-cased; null is empty.
@@ -21,8 +22,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.orphans import canonical_id
-from ..session import salted_join
-
+from ..session import cut
+#: So many terms are broadcast with their counts, none of more than LONGEST characters: some ten MB at most.
+FREQUENT, LONGEST = 32_768, 256
 TERM = r"[\p{L}\p{Nd}]+"
 
 
@@ -44,21 +46,57 @@ def term_counts(recs: DataFrame, keys: list[str]) -> DataFrame:
     return terms.select(*keys, F.lower("term").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def scores(recs: DataFrame, keys: list[str], least_df: int = 1) -> DataFrame:
-    """keys, term, tf, df, cf, idf, expected, residual, score, tf_idf of every term of every record."""
-    n = float(recs.select(*keys).count())  # one number
-    tf = term_counts(recs, keys)
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= least_df)
-    joined = salted_join(tf, stats, ["term"], "inner", keys[-1])
+def _measure(by: str, n: float) -> Column:
+    """The rounded value that ranks: score or tf_idf."""
     idf = F.ln(F.lit(n) / F.col("df"))
     expected = -F.ln(-F.expm1(-F.col("cf") / F.lit(n)))
-    return joined.select(
+    return F.round(F.col("tf") * (idf - expected if by == "score" else idf), 9)
+
+
+def _measured(df: DataFrame, keys: list[str], n: float) -> DataFrame:
+    idf = F.ln(F.lit(n) / F.col("df"))
+    expected = -F.ln(-F.expm1(-F.col("cf") / F.lit(n)))
+    return df.select(
         *keys, "term", "tf", "df", "cf", F.round(idf, 9).alias("idf"), F.round(expected, 9).alias("expected"), F.round(idf - expected, 9).alias("residual"),
-        F.round(F.col("tf") * (idf - expected), 9).alias("score"), F.round(F.col("tf") * idf, 9).alias("tf_idf"),
+        _measure("score", n).alias("score"), _measure("tf_idf", n).alias("tf_idf"),
     )
 
 
+def _split(recs: DataFrame, keys: list[str], least_df: int) -> tuple[DataFrame, DataFrame, float]:
+    """(keys, term, tf with df and cf where the term is frequent, else null; stats of every term; number of records)."""
+    n = float(recs.select(*keys).count())  # one number
+    tf = term_counts(recs, keys)
+    stats = cut(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")))
+    often = stats.where(F.length("term") <= LONGEST).orderBy(F.desc("df"), "term").limit(FREQUENT)
+    return tf.join(F.broadcast(often), "term", "left").where(F.col("df").isNull() | (F.col("df") >= least_df)), stats.where(F.col("df") >= least_df), n
+
+
+def _looked_up(met: DataFrame, stats: DataFrame) -> DataFrame:
+    """met with the counts of the terms that have none yet; the other rows go through the join as they are, spread by
+    hash, so that what comes before it is done once."""
+    at = F.when(F.col("df").isNull(), F.xxhash64("term")).otherwise(F.xxhash64(*[c for c in met.columns if c not in ("term", "tf", "df", "cf")]))
+    held = stats.select(F.xxhash64("term").alias("_h"), "term", F.col("df").alias("_df"), F.col("cf").alias("_cf"))
+    found = met.withColumn("_h", at).join(held.hint("merge"), ["_h", "term"], "left")
+    return found.withColumns({"df": F.coalesce("df", "_df"), "cf": F.coalesce("cf", "_cf")}).where(F.col("df").isNotNull())
+
+
+def scores(recs: DataFrame, keys: list[str], least_df: int = 1) -> DataFrame:
+    """keys, term, tf, df, cf, idf, expected, residual, score, tf_idf of every term of every record."""
+    met, stats, n = _split(recs, keys, least_df)
+    return _measured(_looked_up(met, stats), keys, n)
+
+
 def top_terms(scored: DataFrame, keys: list[str], by: str, k: int = 3) -> DataFrame:
     """The k terms of each record with the highest value; ties go to the smaller term."""
     w = Window.partitionBy(*keys).orderBy(F.desc(by), F.asc("term"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def characteristic(recs: DataFrame, keys: list[str], by: str, k: int = 3, least_df: int = 1) -> DataFrame:
+    """top_terms() of scores() for score or tf_idf. Of the frequent terms a record's k best are chosen where the record
+    lies; only those and the terms still to be looked up are shuffled."""
+    met, stats, n = _split(recs, keys, least_df)
+    here = met.withColumn("_open", F.col("df").isNull())
+    local = Window.partitionBy(*keys).orderBy("_open", F.desc(_measure(by, n)), F.asc("term"))
+    kept = here.withColumn("_at", F.row_number().over(local)).where(F.col("_open") | (F.col("_at") <= k)).drop("_at", "_open")
+    return top_terms(_measured(_looked_up(kept, stats), keys, n), keys, by, k)

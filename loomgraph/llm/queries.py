@@ -40,15 +40,14 @@ def p7_classes(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     keys = ["project", "node_id"]
-    scored = distinctive.scores(distinctive.node_records(table(spark, d, "nodes")), keys, least_df=2)
-    return distinctive.top_terms(scored, keys, "tf_idf").select(*keys, "term")
+    return distinctive.characteristic(distinctive.node_records(table(spark, d, "nodes")), keys, "tf_idf", least_df=2).select(*keys, "term")
 
 
 def p4_residual(spark: SparkSession, d: str) -> DataFrame:
     """The three terms of each node with the highest residual score."""
     keys = ["project", "node_id"]
-    scored = distinctive.scores(distinctive.node_records(table(spark, d, "nodes")), keys, least_df=2)
-    return distinctive.top_terms(scored, keys, "score").select(*keys, "rank", "term", "tf", "df", "cf", F.round("score", 6).alias("score"))
+    top = distinctive.characteristic(distinctive.node_records(table(spark, d, "nodes")), keys, "score", least_df=2)
+    return top.select(*keys, "rank", "term", "tf", "df", "cf", F.round("score", 6).alias("score"))
 
 
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:

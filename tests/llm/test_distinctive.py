@@ -30,3 +30,14 @@ def test_hot_terms_and_long_texts(spark):
 
 def test_empty(spark):
     assert distinctive.scores(distinctive.node_records(spark.createDataFrame([], NODES)), KEYS).count() == 0
+
+
+def test_chosen_where_the_record_lies(spark, monkeypatch):
+    """Few or no terms broadcast give the same result as all of them."""
+    rows = [("p", f"n{i}", f"w{i % 7} w{i % 11} both", f"w{i % 3} only{i} " + "x" * 300, i, "", 0) for i in range(60)]
+    recs = distinctive.node_records(spark.createDataFrame(rows, NODES))
+    want = sorted(map(tuple, distinctive.top_terms(distinctive.scores(recs, KEYS, least_df=2), KEYS, "score").select(*KEYS, "rank", "term", "df", "score").collect()))
+    for bound in (32_768, 3, 1):
+        monkeypatch.setattr(distinctive, "FREQUENT", bound)
+        got = distinctive.characteristic(recs, KEYS, "score", least_df=2)
+        assert sorted(map(tuple, got.select(*KEYS, "rank", "term", "df", "score").collect())) == want
