@@ -3,7 +3,8 @@
 Each language has a probability for every piece of a fixed public vocabulary; the probability of a word is the
 sum over all its segmentations into pieces, computed by a forward pass. The piece probabilities are fitted by
 expectation maximisation (forward-backward over the same segmentations) to the word counts of a sample of
-labelled documents, at most SAMPLE_DOCS a language and SAMPLE_WORDS words in all; frequent function words are
+labelled documents, at most SAMPLE_DOCS a language under the SAMPLE_LABELS most frequent labels and SAMPLE_WORDS words
+of at most SAMPLE_LETTERS letters in all; frequent function words are
 added as pseudo counts, so a language that is rare in the sample is still known. Scoring covers every line of
 every document in a ``mapInArrow`` stage that keeps the scores of words already seen.
 
@@ -16,7 +17,7 @@ Defined results
  * A label is read in any notation (code, region, name); null, blank or unreadable labels are missing. A label of
    a language that isn't among LANGUAGES is wrong for any text.
  * Null, empty and code-only texts have no stretches. Mis-decoded accents are repaired and accents folded before
-   scoring. Rows repeat freely and are scored one by one; texts are scored whole.
+   scoring. Rows repeat freely and are scored one by one; texts and words are scored whole, whatever their length.
  * Ties between languages go to the one first in LANGUAGES.
 """
 
@@ -31,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import spread_scan
 from .names import fold
 
 LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl")
 #: Where the public vocabulary lies.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLE_DOCS, SAMPLE_WORDS, ROUNDS, PSEUDO = 600, 40_000, 4, 3.0
+SAMPLE_DOCS, SAMPLE_WORDS, SAMPLE_LETTERS, SAMPLE_LABELS, ROUNDS, PSEUDO = 600, 40_000, 64, 1000, 4, 3.0
 #: Posterior below which a line takes its neighbour's language.
 UNSURE = 0.95
 #: Names of languages in labels, folded.
@@ -60,11 +61,20 @@ FUNCTION_WORDS = {
 }
 
 _FENCE = re.compile(r"^\s*(?:>\s*)*(?:```|~~~)")
-_CODE_LINE = re.compile(r"[;{}]\s*$|^\s*(?://|/\*|\*/|#!|#include|@\w+\()|^\s*(?:const|let|var|return|import|export|function|def|class|func|public|private|if|for|while|await|throw|package|use)\b.*[(){};=]|^\s*[\w.]+\s*(?::?=|\+=|=>)\s*\S|^\s*[\w.]+\([^)]*\)\s*$|^\s*\$ ")
-_DROP = re.compile(r"`[^`]*`|https?://\S+|\[[^\]]*\]\([^)]*\)|\S*[/\\_@]\S*|\b\w+\.\w+\b(?!\.\s)|\S*\d\S*|\b[a-z]+[A-Z]\w*\b|->\s*\S+|:\s*[\w]+-[\w-]+(?=\.?\s*$)")
+_CODE_START = re.compile(r"\s*(?://|/\*|\*/|#!|#include|@\w+\()|\s*(?:const|let|var|return|import|export|function|def|class|func|public|private|if|for|while|await|throw|package|use)\b.*[(){};=]|\s*[\w.]+\s*(?::?=|\+=|=>)\s*\S|\s*[\w.]+\([^)]*\)\s*$|\s*\$ ")
+_TICKS = re.compile(r"`[^`]*`")
+_LINK = re.compile(r"\[[^\]]*\]\([^)]*\)")
+_ARROW = re.compile(r"->\s*\S+")
+_TAIL = re.compile(r":\s*\w+-[\w-]+(?=\.?\s*$)")
+_ODD = re.compile(r"[/\\_@\d]")
+_DOTTED = re.compile(r"\b\w++\.\w+\b(?!\.$)")
+_CAMEL = re.compile(r"\b[a-z]++[A-Z]\w*\b")
 _MARK = re.compile(r"\(#\d+\)|\[v[\d.]+\]|`[^`]*`")
+_LEAD = re.compile(r"\s*(?:>\s*|#+\s+|[-*+]\s+|\d+[.)]\s+)*")
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(r"[a-z]+")  # of folded plain text
 _BROKEN = re.compile("[ÃÂ][\u0080-¿‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ ]")
+#: Sums over longer words are kept as logarithms, so that nothing underflows.
 _CLOSE, _FLOOR = 24, 1e-9
 
 
@@ -103,6 +113,30 @@ def _pair(two: str) -> str:
     return two
 
 
+def _prose(line: str) -> str:
+    """The line without inline code, links, what arrows point to, paths, numbers and identifiers."""
+    if "`" in line:
+        line = _TICKS.sub(" ", line)
+    if "](" in line:
+        line = _LINK.sub(" ", line)
+    if "->" in line:
+        line = _ARROW.sub(" ", line)
+    if ":" in line:
+        line = _TAIL.sub(" ", line)
+    out = []
+    for t in line.split():
+        if not (t.isalpha() and t[1:].islower()):
+            if _ODD.search(t):
+                t = " "
+            else:
+                if "." in t[1:-1]:
+                    t = _DOTTED.sub(" ", t)
+                if not t.islower():
+                    t = _CAMEL.sub(" ", t)
+        out.append(t)
+    return " ".join(out)
+
+
 def prose_lines(text: str | None) -> list[tuple[int, list[str], int]]:
     """(line number from 0, folded words of prose, characters of prose) of each line with prose."""
     out, fenced = [], False
@@ -110,10 +144,14 @@ def prose_lines(text: str | None) -> list[tuple[int, list[str], int]]:
         if _FENCE.match(line):
             fenced = not fenced
             continue
-        if fenced or not line.strip() or _CODE_LINE.search(_MARK.sub("", line)):
+        if fenced or not line.strip():
+            continue
+        kept = (_MARK.sub("", line) if "`" in line or "(#" in line or "[v" in line else line).rstrip()
+        if kept.endswith((";", "{", "}")) or _CODE_START.match(kept):
             continue
-        bare = _DROP.sub(" ", re.sub(r"^\s*(?:>\s*|#+\s+|[-*+]\s+|\d+[.)]\s+)*", "", line))
-        words = [w for w in _WORD.findall(fold(repaired(bare))) if w]
+        bare = _prose(line[_LEAD.match(line).end() :])
+        plain = fold(repaired(bare))
+        words = (_LETTERS if plain.isascii() else _WORD).findall(plain)
         if sum(len(w) > 1 for w in words) >= 2:
             out.append((n, words, len(bare.strip())))
     return out
@@ -132,36 +170,79 @@ class Unigrams:
     """Piece probabilities of each language; score() sums over all segmentations of a word."""
 
     def __init__(self, pieces: dict[str, np.ndarray]):
-        self.pieces, self.longest, self.seen = pieces, max(map(len, pieces), default=1), {}
+        self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
+        self.logs: dict[str, np.ndarray] = {}
+        self.forget()
 
-    def _spans(self, word: str):
+    def forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.known = np.empty((1024, len(LANGUAGES)))
+
+    def spans(self, word: str) -> list[tuple[int, int, str]]:
+        """(start, end, piece) of the pieces in a word, by end."""
         text = " " + word
-        for j in range(1, len(text) + 1):
-            for i in range(max(0, j - self.longest), j):
-                if (p := self.pieces.get(text[i:j])) is not None:
-                    yield i, j, text[i:j], p
-
-    def forward(self, word: str) -> tuple[np.ndarray, np.ndarray]:
-        """(alpha, scale): scaled forward sums at each position, and the log scale of the last."""
-        n = len(word) + 1
-        alpha = np.zeros((n + 1, len(LANGUAGES)))
-        alpha[0] = 1.0
-        for i, j, _, p in self._spans(word):
-            alpha[j] += alpha[i] * p
-        return alpha, n
+        return [(i, j, text[i:j]) for j in range(1, len(text) + 1) for i in range(max(0, j - self.longest), j) if text[i:j] in self.pieces]
+
+    def forward(self, word: str, spans: list[tuple[int, int, str]]) -> np.ndarray:
+        """Sums over the segmentations of the letters before each position; logarithms for long words."""
+        if len(word) <= _CLOSE:
+            alpha = np.zeros((len(word) + 2, len(LANGUAGES)))
+            alpha[0] = 1.0
+            for i, j, piece in spans:
+                alpha[j] += alpha[i] * self.pieces[piece]
+            return alpha
+        alpha = np.full((len(word) + 2, len(LANGUAGES)), -np.inf)
+        alpha[0] = 0.0
+        for i, j, piece in spans:
+            alpha[j] = np.logaddexp(alpha[j], alpha[i] + self.log(piece))
+        return alpha
+
+    def log(self, piece: str) -> np.ndarray:
+        if (got := self.logs.get(piece)) is None:
+            got = self.logs[piece] = np.log(self.pieces[piece])
+        return got
 
-    def score(self, word: str) -> np.ndarray:
-        got = self.seen.get(word)
+    def expected(self, word: str) -> list[tuple[str, np.ndarray]]:
+        """(piece, how often it is expected in a segmentation of the word) for each place it has."""
+        spans = self.spans(word)
+        alpha = self.forward(word, spans)
+        if len(word) <= _CLOSE:
+            beta = np.zeros_like(alpha)
+            beta[-1] = 1.0
+            for i, j, piece in reversed(spans):
+                beta[i] += beta[j] * self.pieces[piece]
+            whole = np.maximum(alpha[-1], 1e-200)
+            return [(piece, alpha[i] * self.pieces[piece] * beta[j] / whole) for i, j, piece in spans]
+        beta = np.full_like(alpha, -np.inf)
+        beta[-1] = 0.0
+        for i, j, piece in reversed(spans):
+            beta[i] = np.logaddexp(beta[i], beta[j] + self.log(piece))
+        whole = np.where(np.isfinite(alpha[-1]), alpha[-1], 0.0)
+        return [(piece, np.exp(alpha[i] + self.log(piece) + beta[j] - whole)) for i, j, piece in spans]
+
+    def row(self, word: str) -> int:
+        """Where the scores of the word lie in ``known``."""
+        got = self.at.get(word)
         if got is None:
-            if len(self.seen) > 300_000:
-                self.seen.clear()
-            got = np.zeros(len(LANGUAGES))
-            for k in range(0, len(word), _CLOSE):  # very long words go through in blocks, so nothing underflows
-                alpha, n = self.forward(word[k : k + _CLOSE])
-                got = got + np.log(np.maximum(alpha[n], 1e-200))
-            self.seen[word] = got
+            got = self.at[word] = len(self.at)
+            if got == len(self.known):
+                self.known = np.concatenate([self.known, np.empty_like(self.known)])
+            last = self.forward(word, self.spans(word))[-1]
+            self.known[got] = np.log(np.maximum(last, 1e-200)) if len(word) <= _CLOSE else np.where(np.isfinite(last), last, len(word) * math.log(_FLOOR))
         return got
 
+    def score(self, word: str) -> np.ndarray:
+        return self.known[self.row(word)]
+
+    def scores(self, lines: list[list[str]]) -> np.ndarray:
+        """The summed scores of the words of each line; no line is empty."""
+        if len(self.at) > 300_000:
+            self.forget()
+        at, row = self.at, self.row
+        rows = [got if (got := at.get(w)) is not None else row(w) for words in lines for w in words]
+        starts = np.cumsum([0] + [len(words) for words in lines[:-1]])
+        return np.add.reduceat(self.known[rows], starts, axis=0)
+
 
 def fit(counts: dict[str, dict[str, float]], pieces: list[str], rounds: int = ROUNDS) -> Unigrams:
     """Piece probabilities by expectation maximisation on (language -> word -> count)."""
@@ -179,20 +260,13 @@ def fit(counts: dict[str, dict[str, float]], pieces: list[str], rounds: int = RO
     for i, lang in enumerate(LANGUAGES):
         total = sum(counts[lang].values())
         for w, n in counts[lang].items():
-            by_word[w[:_CLOSE]][i] += n / total * 1e5
+            by_word[w][i] += n / total * 1e5
     model = Unigrams(table)
     for _ in range(rounds):
         expected: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(LANGUAGES)))
         for word, n in by_word.items():
-            alpha, end = model.forward(word)
-            spans = list(model._spans(word))
-            beta = np.zeros_like(alpha)
-            beta[end] = 1.0
-            for i, j, _, p in sorted(spans, key=lambda s: -s[1]):
-                beta[i] += beta[j] * p
-            whole = np.maximum(alpha[end], 1e-200)
-            for i, j, piece, p in spans:
-                expected[piece] += n * alpha[i] * p * beta[j] / whole
+            for piece, times in model.expected(word):
+                expected[piece] += n * times
         total = sum(expected.values()) + 0.0
         model = Unigrams({p: np.maximum(expected[p] / total if p in expected else 0.0, _FLOOR) * np.ones(len(LANGUAGES)) for p in model.pieces})
     return model
@@ -201,7 +275,7 @@ def fit(counts: dict[str, dict[str, float]], pieces: list[str], rounds: int = RO
 def sample_counts(documents: DataFrame, key: str = "doc_id") -> dict[str, dict[str, float]]:
     """Word counts by labelled language over a bounded sample: about SAMPLE_DOCS documents a language, chosen by the
     hash of their id, and of their words the SAMPLE_WORDS most frequent."""
-    labels = [r[0] for r in documents.select("lang").where(F.length("lang") < 40).groupBy("lang").count().orderBy(F.desc("count")).limit(1000).collect()]
+    labels = [r[0] for r in documents.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LABELS).collect()]
     named = {x: n for x in labels if (n := label_notation(x)) in LANGUAGES}
     if not named:
         return {}
@@ -217,7 +291,8 @@ def sample_counts(documents: DataFrame, key: str = "doc_id") -> dict[str, dict[s
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for _, line, _ in prose_lines(text):
                     for w in line:
-                        counts[lang, w[:64]] += 1
+                        if len(w) <= SAMPLE_LETTERS:
+                            counts[lang, w] += 1
             if counts:
                 yield pa.record_batch([pa.array([k[0] for k in counts]), pa.array([k[1] for k in counts]), pa.array(list(counts.values()), pa.int64())], names=["language", "word", "n"])
 
@@ -233,7 +308,7 @@ def stretches(text: str | None, model: Unigrams) -> list[tuple[int, str, float,
     lines = prose_lines(text)
     if not lines:
         return []
-    scores = np.array([sum((model.score(w) for w in words), np.zeros(len(LANGUAGES))) for _, words, _ in lines])
+    scores = model.scores([words for _, words, _ in lines])
     shares = np.exp(scores - scores.max(axis=1, keepdims=True))
     shares /= shares.sum(axis=1, keepdims=True)
     pick = shares.argmax(axis=1)
@@ -277,7 +352,7 @@ def identify(documents: DataFrame, key: str = "doc_id", path: str = VOCABULARY)
             if out:
                 yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
-    return spread(documents.select(F.col(key).cast("long").alias("doc_id"), F.col("lang").alias("label"), "text")).mapInArrow(run, STRETCHES)
+    return spread_scan(documents.select(F.col(key).cast("long").alias("doc_id"), F.col("lang").alias("label"), "text")).mapInArrow(run, STRETCHES)
 
 
 def to_correct(found: DataFrame) -> DataFrame:

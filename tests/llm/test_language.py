@@ -60,3 +60,16 @@ def test_frames(spark):
     got = language.identify(df).collect()
     assert sorted((r.doc_id, r.seg_no, r.lang) for r in got) == [(1, 0, "en"), (4, 0, "en")]
     assert language.to_correct(language.identify(df)).count() == 2 and language.identify(df.limit(0)).count() == 0
+
+
+def test_long_words_are_scored_whole():
+    """Words beyond the length where logarithms take over, against the plain forward sums in long floats."""
+    model = language.fit({}, language.vocabulary(), rounds=1)
+    word = "donaudampfschifffahrtsgesellschaftskapitaen"
+    text, total = " " + word, [np.ones(len(language.LANGUAGES), dtype=np.longdouble)]
+    for j in range(1, len(text) + 1):
+        total.append(sum((total[i] * model.pieces[text[i:j]] for i in range(j) if text[i:j] in model.pieces), np.zeros(len(language.LANGUAGES), dtype=np.longdouble)))
+    assert len(word) > language._CLOSE and np.allclose(model.score(word), np.log(total[-1]).astype(float), rtol=1e-9)
+    assert np.isfinite(model.score("x" * 5000)).all()
+    again = language.fit({"de": {word: 50.0}}, language.vocabulary(), rounds=2)
+    assert again.score(word).argmax() == language.LANGUAGES.index("de")
