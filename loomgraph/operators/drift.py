@@ -2,17 +2,19 @@
 
 Files of one lineage (series and file name) are compared run by run. A range shuffle by (series, file name, run)
 and a sort put each run next to its predecessor, so one streaming pass compares neighbours whatever the length
-of a series; a lineage may span many tasks, and the two files at each task border are compared in a second pass
-over two files per task. For each neighbouring pair two schema graphs are built (kinds, fields, value types,
+of a series; a lineage may span many tasks, and the two files at each task border are compared in a second pass, by
+lineage, over two files per task. For each neighbouring pair two schema graphs are built (kinds, fields, value types,
 nesting), match scores start from name likeness and shared values and are propagated through the pairwise
-connectivity graph to a fixpoint, and the correspondences among vanished and new fields are then selected:
-the exact rule of equal values decides, the flooded score ranks what the rule leaves open (``select='score'``).
+connectivity graph to a fixpoint, and the correspondences among vanished and new fields are then selected by falling
+converged score, each field used once; a pair of which the values say otherwise (fewer than half of them equal) is none.
 
 Defined results
  * A file that isn't valid JSON (cut off, null) is skipped: its successor is compared with its predecessor.
  * Repeats of a file id count once. A null run number comes before all others. Null series form one series.
  * The outer form (list, object by id, list under one key) is no change. An empty file has no objects, and a
    kind without objects in either file is not compared.
+ * Of several new fields that hold a vanished field's values the one most alike in name, type and nesting is its new
+   name; equal scores go in order of the names.
  * Nulls and empty lists have no type. Two runs with one number are both compared with the run before.
 """
 
@@ -37,7 +39,7 @@ FILE_KINDS = {
 }
 #: Kinds whose objects have an id of their own; the others match by place within their owner.
 BY_ID = {"domain", "flow", "step", "tour", "node"}
-_MAX_ROUNDS, _EPSILON = 60, 1e-3
+_EPSILON = 1e-3
 
 
 def value_type(value) -> list[str]:
@@ -173,7 +175,8 @@ def flood(before: Schema, after: Schema, values: dict[tuple[str, str, str], floa
             count[label] += 1
         weights[a] = [(b, 1 / count[label]) for label, b in found]
     score = dict(start)
-    for _ in range(_MAX_ROUNDS):
+    moved = 1.0 if score else 0.0
+    while moved >= _EPSILON:  # all weights are positive and every pair keeps its own share, so this converges
         fed = {a: start[a] + score[a] for a in start}
         new = dict(fed)
         for a, found in weights.items():
@@ -183,16 +186,11 @@ def flood(before: Schema, after: Schema, values: dict[tuple[str, str, str], floa
         new = {a: s / top for a, s in new.items()}
         moved = sum((new[a] - score[a]) ** 2 for a in new) ** 0.5
         score = new
-        if moved < _EPSILON:
-            break
     return {(a[1].split(".", 1)[0], a[1].split(".", 1)[1], a[2].split(".", 1)[1]): s for a, s in score.items() if a[0] == "field"}
 
 
-def compare(before: Schema, after: Schema, select: str = "values") -> list[tuple[str, str, str, str, float | None]]:
-    """(object_kind, change_kind, field, new_field, flooded score of a rename).
-
-    select='values': the first new field, in order of name, whose values agree in at least half of the objects.
-    select='score': pairs by falling flooded score, those the values contradict left out."""
+def compare(before: Schema, after: Schema) -> list[tuple[str, str, str, str, float | None]]:
+    """(object_kind, change_kind, field, new_field, flooded score of a rename)."""
     changes: list[tuple[str, str, str, str, float | None]] = []
     kinds = [k for k in before.objects if before.objects[k] and after.objects.get(k)]
     open_fields = {}
@@ -204,15 +202,11 @@ def compare(before: Schema, after: Schema, select: str = "values") -> list[tuple
     scores = flood(before, after, {p: e / h if h else 0.0 for p, (h, e) in held_equal.items()}) if held_equal else {}
     for kind in kinds:
         gone, come = open_fields[kind]
-        candidates = [(f, g) for f in gone for g in come if scores.get((kind, f, g), 0) > 0]
-        if select == "score":
-            candidates.sort(key=lambda p: (-scores[kind, *p], p))
         used: dict[str, str] = {}
         taken: set[str] = set()
-        for f, g in candidates:
+        for f, g in sorted(((f, g) for f in gone for g in come), key=lambda p: (-round(scores[kind, *p], 6), p)):
             held, equal = held_equal[kind, f, g]
-            agreed = 2 * equal >= held and held > 0
-            if f not in used and g not in taken and (agreed or select == "score" and held == 0 and scores[kind, f, g] > 0.6):
+            if held and 2 * equal >= held and f not in used and g not in taken:
                 used[f] = g
                 taken.add(g)
         changes += [(kind, "renamed", f, g, scores[kind, f, g]) for f, g in used.items()]
@@ -230,7 +224,7 @@ _CHANGES_DDL = "role string, series_id long, run_no long, file_name string, file
 _INPUT = ["role", "series_id", "file_name", "run_no", "file_id", "content"]
 
 
-def _neighbours(select: str):
+def _neighbours():
     """The pass over files in order. Input role '' : compare within the task and hand its first and last run on
     as 'head' and 'tail'; input roles 'head' and 'tail': compare each head with the tail before it."""
 
@@ -258,7 +252,7 @@ def _neighbours(select: str):
                 schema = read_schema(value, name)
                 if border:
                     if role == "head" and now is not None and lineage == (series, name):
-                        out += [("change", series, number, name, file_id, None, *c) for c in compare(now[1], schema, select)]
+                        out += [("change", series, number, name, file_id, None, *c) for c in compare(now[1], schema)]
                     elif role == "tail":
                         lineage, now = (series, name), (number, schema)
                 else:
@@ -271,7 +265,7 @@ def _neighbours(select: str):
                     elif now is not None and now[0] != number:
                         before = now
                     if before is not None:
-                        out += [("change", series, number, name, file_id, None, *c) for c in compare(before[1], schema, select)]
+                        out += [("change", series, number, name, file_id, None, *c) for c in compare(before[1], schema)]
                     now, held = (number, schema), (series, number, name, file_id, content)
                 if len(out) > 2000:
                     yield batch()
@@ -283,7 +277,7 @@ def _neighbours(select: str):
     return run
 
 
-def changes(files: DataFrame, select: str = "values") -> DataFrame:
+def changes(files: DataFrame) -> DataFrame:
     """Every change of each file against the latest earlier valid run of its series and file name:
     series_id, run_no, file_name, object_kind, change_kind, field, new_field, score."""
     spark = files.sparkSession
@@ -291,10 +285,10 @@ def changes(files: DataFrame, select: str = "values") -> DataFrame:
     ordered = files.select(
         F.lit("").alias("role"), F.col("series_id").cast("long"), F.col("file_name"), F.col("run_no").cast("long"), F.col("file_id").cast("long"), "content"
     ).repartitionByRange(n, "series_id", "file_name", "run_no").sortWithinPartitions("series_id", "file_name", "run_no", "file_id")
-    found = cut(ordered.mapInArrow(_neighbours(select), _CHANGES_DDL))
-    # two runs a task, so the one sorted stream here is bounded by the number of tasks
-    borders = found.where(F.col("role") != "change").repartition(1).sortWithinPartitions(F.col("series_id"), "file_name", "run_no", "role", "file_id")
-    across = borders.select(*_INPUT).mapInArrow(_neighbours(select), _CHANGES_DDL)
+    found = cut(ordered.mapInArrow(_neighbours(), _CHANGES_DDL))
+    # two runs for each task a lineage spans
+    borders = found.where(F.col("role") != "change").repartition("series_id", "file_name").sortWithinPartitions("series_id", "file_name", "run_no", "role", "file_id")
+    across = borders.select(*_INPUT).mapInArrow(_neighbours(), _CHANGES_DDL)
     keep = ["series_id", "run_no", "file_name", "object_kind", "change_kind", "field", "new_field", "score"]
     return found.where(F.col("role") == "change").select(*keep).unionByName(across.where(F.col("role") == "change").select(*keep))
 
@@ -327,21 +321,19 @@ def fields(files: DataFrame) -> DataFrame:
 
 
 def canonical_names(found: DataFrame, known: DataFrame) -> DataFrame:
-    """(object_kind, field, canonical): a field that some file's rename leads back to a known field, through
-    renames of renames. found: changes(); known: (object_kind, field) in use for that kind. Field names are a
-    vocabulary, not data rows, and the rename table has one row per pair of names."""
-    step = (
-        found.where(F.col("change_kind") == "renamed").groupBy("object_kind", "field", "new_field").agg(F.count(F.lit(1)).alias("n"))
-    )
-    names = known.select("object_kind", "field", F.col("field").alias("canonical"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("n"))
-    reached = names
-    for depth in range(1, 4):  # a known name, renamed up to three times
-        ahead = (
-            reached.where(F.col("depth") == depth - 1).select("object_kind", "field", "canonical")
-            .join(step, ["object_kind", "field"]).select("object_kind", F.col("new_field").alias("field"), "canonical", F.lit(depth).alias("depth"), "n")
+    """(object_kind, field, canonical, depth): a field that some file's rename leads back to a known field, through
+    renames of renames, however many. found: changes(); known: (object_kind, field) in use for that kind. Field names are
+    a vocabulary, not data rows, and the rename table has one row per pair of names."""
+    step = cut(found.where(F.col("change_kind") == "renamed").groupBy("object_kind", "field", "new_field").agg(F.count(F.lit(1)).alias("n")))
+    reached = cut(known.select("object_kind", "field", F.col("field").alias("canonical"), F.lit(0).alias("depth")))
+    latest = reached
+    while not latest.isEmpty():
+        ahead = latest.join(step, ["object_kind", "field"]).groupBy("object_kind", F.col("new_field").alias("to")).agg(
+            F.min_by("canonical", F.struct("depth", -F.col("n"), "canonical")).alias("canonical"), (F.min("depth") + 1).alias("depth")
         )
-        reached = reached.unionByName(ahead)
-    return reached.groupBy("object_kind", "field").agg(F.min_by("canonical", F.struct("depth", -F.col("n"), "canonical")).alias("canonical"))
+        latest = cut(ahead.withColumnRenamed("to", "field").join(reached.select("object_kind", "field"), ["object_kind", "field"], "left_anti").select("object_kind", "field", "canonical", "depth"))
+        reached = cut(reached.unionByName(latest))
+    return reached
 
 
 #: The fields of each kind and the type each is cast to in the consistent table.
@@ -359,7 +351,8 @@ UNIFIED = {
 def unified(files: DataFrame, kind: str, found: DataFrame | None = None) -> DataFrame:
     """One consistent table of a kind over all files: series_id, run_no, file_name, object_key, owner_key and the
     fields of UNIFIED, renamed and cast; 'others' maps the remaining fields to their text. Lists come as the JSON
-    text of a list whatever they were; text objects of one 'text' member count as that text."""
+    text of a list whatever they were; text objects of one 'text' member count as that text. Where an object holds several
+    fields of one canonical name, the one renamed least often is taken and the rest stay among the others."""
     wanted = UNIFIED[kind]
     spark = files.sparkSession
     known = spark.createDataFrame([(kind, f) for f in wanted], "object_kind string, field string")
@@ -367,13 +360,23 @@ def unified(files: DataFrame, kind: str, found: DataFrame | None = None) -> Data
     long = fields(files).where(F.col("object_kind") == kind).join(names, ["object_kind", "field"], "left")
     key = ["series_id", "run_no", "file_name", "object_key"]
 
+    each = long.groupBy(*key).agg(F.max("owner_key").alias("owner_key"), F.collect_list(F.struct("canonical", "depth", "field", "value")).alias("held"))
+
+    def first(name: str):
+        named = F.filter("held", lambda x: x.canonical == name)
+        return F.array_min(F.transform(named, lambda x: F.struct(x.depth.alias("depth"), x.field.alias("field"), x.value.alias("value"))))
+
+    each = each.withColumns({f"_{f}": first(f) for f in wanted})
+
     def cast(name: str, to: str):
-        text = F.max(F.when(F.col("canonical") == name, F.col("value")))
+        text = F.col(f"_{name}")["value"]
         if to == "list":
             return F.when(text.isNull(), None).when(F.ltrim(text).rlike(r"^[\[{]"), text).otherwise(F.to_json(F.array(text)))
         if to == "boolean":
             return F.when(F.lower(text).isin("true", "yes", "1"), True).when(F.lower(text).isin("false", "no", "0"), False)
         return F.coalesce(F.get_json_object(text, "$.text"), text) if to == "string" else text.try_cast(to)
 
-    others = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("canonical").isNull(), F.struct("field", "value")))))
-    return long.groupBy(*key).agg(F.max("owner_key").alias("owner_key"), *[cast(f, t).alias(f) for f, t in wanted.items()], others.alias("others"))
+    taken = F.array(*[F.coalesce(F.col(f"_{f}")["field"], F.lit("")) for f in wanted])
+    rest = F.filter("held", lambda x: ~F.array_contains(taken, x.field))
+    others = F.map_from_entries(F.array_sort(F.transform(rest, lambda x: F.struct(x.field.alias("field"), x.value.alias("value")))))
+    return each.select(*key, "owner_key", *[cast(f, t).alias(f) for f, t in wanted.items()], others.alias("others"))

@@ -89,3 +89,21 @@ def test_flooding_scores_and_unified(spark):
     assert score["domain", "entities", "entities"] > score["domain", "entities", "name"]
     rows = drift.unified(files(spark, [a, b]), "domain").orderBy("run_no").collect()
     assert [(r.label, r.summary, r.entities) for r in rows] == [("x", "s", '["e"]'), ("x", "s", '["e"]')]
+
+
+def test_the_flooded_score_chooses(monkeypatch):
+    """Two new fields hold the old one's values: the likelier is its new name, not the first; a constant score can't tell."""
+    one = drift.read_schema([{"id": "d", "stepTitle": "x"}, {"id": "e", "stepTitle": "y"}], "final-domains.json")
+    two = drift.read_schema([{"id": "d", "alias": "x", "step_title": "x"}, {"id": "e", "alias": "y", "step_title": "y"}], "final-domains.json")
+    assert [c[:4] for c in drift.compare(one, two)] == [("domain", "renamed", "stepTitle", "step_title"), ("domain", "added", "alias", "")]
+    monkeypatch.setattr(drift, "flood", lambda before, after, values: dict.fromkeys(values, 0.5))
+    assert [c[:4] for c in drift.compare(one, two)] == [("domain", "renamed", "stepTitle", "alias"), ("domain", "added", "step_title", "")]
+
+
+def test_many_renames_and_two_fields_of_one_name(spark):
+    runs = [[{"id": "d", name: "x", "k": 1}] for name in ("label", "l1", "l2", "l3", "l4", "l5")]
+    rows = drift.unified(files(spark, runs), "domain").collect()
+    assert [r.label for r in rows] == ["x"] * 6
+    both = [[{"id": "d", "label": "x"}], [{"id": "d", "title": "x"}], [{"id": "d", "title": "b", "label": "a"}]]
+    last = drift.unified(files(spark, both), "domain").where("run_no = 3").first()
+    assert last.label == "a" and last.others == {"id": "d", "title": "b"}
