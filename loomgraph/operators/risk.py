@@ -39,8 +39,8 @@ def risk_scores(nodes: DataFrame, edges: DataFrame, blast: DataFrame, changes: D
         (zero("n_warnings") > 0, "has_structural_warnings"),
     ]
     factors = F.array_compact(F.array(*[F.when(rule, name) for rule, name in rules]))
-    rounded = lambda c: F.round(F.col(c), 6).alias(c)
-    return v.select(*KEY, rounded("blast"), rounded("coupling"), rounded("test_gap"), rounded("churn"), F.round(risk, 6).alias("risk"), factors.alias("factors"))
+    rounded = lambda c: F.round(F.col(c), 9).alias(c)
+    return v.select(*KEY, rounded("blast"), rounded("coupling"), rounded("test_gap"), rounded("churn"), F.round(risk, 9).alias("risk"), factors.alias("factors"))
 
 
 def risk_summary(scores: DataFrame, column: str = "risk") -> DataFrame:

@@ -57,10 +57,10 @@ def unstable_interfaces(nodes: DataFrame, edges: DataFrame, changes: DataFrame,
 
 
 def duplicate_logic(nodes: DataFrame, edges: DataFrame, shared: int = 2) -> DataFrame:
-    """Functions of one signature (parameters in twos, complexity) called by ``shared`` or more of the same nodes.
+    """Functions of one signature (parameters in twos; complexity, null counting as simple) called by ``shared`` or more of the same nodes.
     Pairs meet on (project, caller, signature); severity goes by the size of the signature's group."""
     params = F.col("metadata").getItem("param_count").try_cast("int") if "metadata" in nodes.columns else F.lit(None).cast("int")
-    signature = F.concat_ws("|", F.floor(F.coalesce(params, F.lit(0)) / 2).cast("string"), F.coalesce("complexity", F.lit("")))
+    signature = F.concat_ws("|", F.floor(F.coalesce(params, F.lit(0)) / 2).cast("string"), F.when(F.col("complexity") == "complex", "2").when(F.col("complexity") == "moderate", "1").otherwise("0"))
     f = nodes.where("node_type = 'function'").select("project", F.col("id").alias("target"), signature.alias("sig"))
     calls = edges.where("edge_type = 'calls'").select("project", "source", "target").distinct().join(f, ["project", "target"])
     a, b = calls.select("project", "source", "sig", F.col("target").alias("a")), calls.select("project", "source", "sig", F.col("target").alias("b"))

@@ -11,7 +11,7 @@ from ..operators import extract, graph, history, merge, search, traversal
 from ..sources import files as tree
 from ..session import cut, table
 from ..streaming import changes
-from .graph import _CANON, GRAPH_SQL, load
+from .graph import _CANON, GRAPH_SQL, load, load_edges, load_nodes
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -87,16 +87,6 @@ def call_sites(spark, d):
     return extract.call_sites(functions)
 
 
-@query()
-def resolved_calls(spark, d):
-    """Calls to functions of the same file of the functions table."""
-    f = table(spark, d, "functions").select("fn_id", "project", F.col("file_path").alias("path"), "fn_name", "body", "exported").where("body is not null").dropDuplicates(["fn_id"])
-    calls = extract.call_sites(f).join(f.select("fn_id", "project", "path", F.col("fn_name").alias("caller")), "fn_id").select("project", "path", "caller", "callee", "n")
-    symbols = f.select("project", "path", F.lit("function").alias("kind"), F.col("fn_name").alias("name"), "exported")
-    targets = spark.createDataFrame([], "project string, path string, raw string, target string")
-    return extract.resolve_calls(calls, symbols, targets)
-
-
 @query()
 def design_patterns(spark, d):
     return extract.design_patterns(sources(spark, d))
@@ -200,19 +190,19 @@ def _count_sql(column: str) -> str:
 k AS (SELECT *, CASE WHEN l = '{_PHRASE}' THEN 5.0 WHEN contains(l, '{_PHRASE}') THEN 4.0 WHEN contains(i, '{_PHRASE}') OR contains(m, '{_PHRASE}') THEN 3.0 WHEN {_count_sql('l')} > 0 THEN 1 + ({_count_sql('l')}) / 2.0 WHEN {_count_sql('i')} > 0 THEN 0.5 + ({_count_sql('i')}) / 2.0 WHEN {_count_sql('m')} > 0 THEN 0.5 END AS score FROM s)
 SELECT project, id, label, CAST(score AS DOUBLE) AS score FROM k WHERE score IS NOT NULL ORDER BY score DESC, coalesce(risk_score, 0) DESC, ord LIMIT 10""")
 def keyword_search(spark, d):
-    return search.keyword_search(load(spark, d)[0], _PHRASE)
+    return search.keyword_search(load_nodes(spark, d), _PHRASE)
 
 
 @query(GRAPH_SQL + f""", s AS (SELECT project, id, label, risk_score, ord, lower(coalesce(label, '')) AS l, lower(coalesce(summary, '')) AS m FROM V),
 k AS (SELECT *, CASE WHEN l = '{_PHRASE}' THEN 4.0 WHEN contains(l, '{_PHRASE}') THEN 3.0 WHEN {_count_sql('l')} = 2 THEN 2.5 WHEN {_count_sql('l')} > 0 THEN 2.0 WHEN contains(m, '{_PHRASE}') OR {_count_sql('m')} > 0 THEN 1.0 END AS score FROM s)
 SELECT project, id, label, CAST(score AS DOUBLE) AS score FROM k WHERE score IS NOT NULL ORDER BY score DESC, coalesce(risk_score, 0) DESC, ord LIMIT 20""")
 def cli_search(spark, d):
-    return search.question_search(load(spark, d)[0], _PHRASE)
+    return search.question_search(load_nodes(spark, d), _PHRASE)
 
 
 @query()
 def fuzzy_search(spark, d):
-    return search.fuzzy_search(load(spark, d)[0], "janitr")
+    return search.fuzzy_search(load_nodes(spark, d), "janitr")
 
 
 @query("""WITH q AS (SELECT vec_id AS query, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id, round(coalesce(list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 0), 6) AS score FROM q, embeddings)
@@ -227,7 +217,7 @@ def embedding_search(spark, d):
 @query()
 def label_similarity(spark, d):
     """Common-subsequence similarity of the label and the name of every node that has both."""
-    v = load(spark, d)[0].join(table(spark, d, "nodes").select("project", graph.canonical_id("id").alias("id"), "node_name").dropDuplicates(["project", "id"]), ["project", "id"])
+    v = load_nodes(spark, d).join(table(spark, d, "nodes").select("project", graph.canonical_id("id").alias("id"), "node_name").dropDuplicates(["project", "id"]), ["project", "id"])
     return v.where("label is not null and node_name is not null").select("project", "id", F.round(T.lcs_similarity("label", "node_name"), 6).alias("similarity"))
 
 
@@ -309,7 +299,7 @@ _HALVES = """, A AS (SELECT project, id, label, summary, risk_score FROM V WHERE
 @query(GRAPH_SQL + _HALVES + " SELECT project, id, coalesce(B.label, A.label) AS label, CASE WHEN B.id IS NULL THEN A.risk_score ELSE B.risk_score END AS risk_score FROM A FULL JOIN B USING (project, id)")
 def merge_passes(spark, d):
     """Two overlapping versions of the nodes, the later winning."""
-    v, _ = load(spark, d)
+    v = load_nodes(spark, d)
     a = v.where("ord % 3 < 2").select("project", "id", "label", "summary", "risk_score", "ord")
     b = v.where("ord % 3 > 0").select("project", "id", F.upper("label").alias("label"), F.lit(None).cast("string").alias("summary"), F.when(F.col("ord") % 2 == 0, 0.5).alias("risk_score"), "ord")
     return merge.merge_passes(a, b, ["project", "id"]).select("project", "id", "label", "risk_score")
@@ -318,7 +308,7 @@ def merge_passes(spark, d):
 @query(GRAPH_SQL + _HALVES + " SELECT project, id, A.label, coalesce(B.risk_score, A.risk_score) AS risk_score FROM A LEFT JOIN B USING (project, id)")
 def enrich_merge(spark, d):
     """Nodes with the values of an overlay where it has any."""
-    v, _ = load(spark, d)
+    v = load_nodes(spark, d)
     a = v.where("ord % 3 < 2").select("project", "id", "label", "risk_score")
     b = v.where("ord % 3 > 0").select("project", "id", F.when(F.col("ord") % 2 == 0, 0.5).alias("risk_score"))
     return merge.apply_overlay(a, b, ["risk_score"])
@@ -367,7 +357,7 @@ def persona_steps(spark, d):
     """The risk tour of each project for a senior reader: without its first step."""
     from pyspark.sql import Window
 
-    v, _ = load(spark, d)
+    v = load_nodes(spark, d)
     steps = v.where("risk_score > 0.6").select("project", F.lit("risk").alias("tour_id"), F.row_number().over(Window.partitionBy("project").orderBy(F.desc("risk_score"), "ord")).alias("pos"), "id")
     return merge.persona_steps(steps, v, "senior").select("project", F.col("step_no").cast("long").alias("step_no"), "id")
 

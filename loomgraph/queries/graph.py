@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from ..operators import graph, risk, smells, traversal
+from ..operators import graph, risk, smells, traversal, views
 from ..session import cut, table
 
 KEY = ["project", "id"]
@@ -25,10 +25,41 @@ def query(sql: str | None = None):
     return register
 
 
+_HELD: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _held(spark: SparkSession, d: str, what: str, make) -> DataFrame:
+    """What was made for a folder in this application, once: the tables are read-only, and nearly every query of a session
+    starts from the same normalised graph, which lies in the checkpoint folder."""
+    key = (spark.sparkContext.applicationId, d, what)
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def forget() -> None:
+    """Normalise anew at the next query, for folders whose tables have changed."""
+    _HELD.clear()
+
+
+def load_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The last row of each node."""
+    return _held(spark, d, "nodes", lambda: cut(graph.latest_nodes(table(spark, d, "nodes").select(*_COLUMNS))))
+
+
+def load_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The first of each edge with both ends, tests turned."""
+
+    def make():
+        v = load_nodes(spark, d)
+        return cut(graph.flip_tests(graph.live_edges(cut(graph.first_edges(table(spark, d, "edges"))), v), v))
+
+    return _held(spark, d, "edges", make)
+
+
 def load(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The normalised graph, written once to the checkpoint folder because every query reads it several times."""
-    v = cut(graph.latest_nodes(table(spark, d, "nodes").select(*_COLUMNS)))
-    return v, cut(graph.flip_tests(graph.live_edges(cut(graph.first_edges(table(spark, d, "edges"))), v), v))
+    """The normalised graph."""
+    return load_nodes(spark, d), load_edges(spark, d)
 
 
 def domain_of(v: DataFrame) -> DataFrame:
@@ -37,6 +68,12 @@ def domain_of(v: DataFrame) -> DataFrame:
     return v.where("node_type = 'function' and file is not null").where(F.size(step) >= 2).select(*KEY, step[1].alias("domain"))
 
 
+def layer_steps(spark: SparkSession, d: str) -> DataFrame:
+    """(project, tour_id, pos, node_ids) of the layers read as tours with one step a member."""
+    rows = table(spark, d, "layers").select("project", F.col("id").alias("tour_id"), F.posexplode("node_ids").alias("pos", "m")).where("m is not null and m <> ''")
+    return rows.select("project", "tour_id", "pos", F.array(graph.canonical_id("m")).alias("node_ids")).distinct()
+
+
 def changes_of(spark: SparkSession, d: str) -> DataFrame:
     """(project, id, change_frequency, recent_commits, n_authors) of file nodes from the commits: 90 and 14 days
     before the last commit loaded."""
@@ -84,7 +121,7 @@ def degree_topk(spark, d):
 
 @query(GRAPH_SQL + " SELECT project, source, target, edge_type FROM E")
 def normalized_edges(spark, d):
-    return load(spark, d)[1].select("project", "source", "target", "edge_type")
+    return load_edges(spark, d).select("project", "source", "target", "edge_type")
 
 
 @query(GRAPH_SQL + """, c AS (
@@ -126,7 +163,7 @@ def node_detail(spark, d):
 ) SELECT project, asked, id FROM C QUALIFY row_number() OVER (PARTITION BY project, asked ORDER BY tier, ord, id) = 1""")
 def resolve_node_id(spark, d):
     """The node each file named in the commits stands for."""
-    v, _ = load(spark, d)
+    v = load_nodes(spark, d)
     return graph.resolve_ids(v, table(spark, d, "commits").where("file <> ''").select("project", F.col("file").alias("asked")))
 
 
@@ -162,7 +199,7 @@ def _layer_case(column: str) -> str:
 
 @query(GRAPH_SQL + f" SELECT project, id, {_layer_case('coalesce(file, id)')} AS layer FROM V WHERE node_type = 'file'")
 def layer_assign(spark, d):
-    return smells.path_layers(load(spark, d)[0])
+    return smells.path_layers(load_nodes(spark, d))
 
 
 _RANK = "CASE {0} WHEN 'infrastructure' THEN 0 WHEN 'config' THEN 1 WHEN 'schema' THEN 2 WHEN 'data' THEN 3 WHEN 'domain' THEN 4 WHEN 'api' THEN 5 WHEN 'ui' THEN 6 END"
@@ -197,7 +234,7 @@ def adjacency_cells(spark, d):
 @query(GRAPH_SQL + _LAYERS_SQL + """ SELECT project, L.layer, count(*) AS members, count(*) FILTER (risk_score >= 0.7) AS high_risk, count(*) FILTER (len(structural_warnings) > 0) AS with_smells
 FROM V JOIN L USING (project, id) WHERE L.layer IS NOT NULL GROUP BY 1, 2""")
 def layer_stats(spark, d):
-    v, _ = load(spark, d)
+    v = load_nodes(spark, d)
     return graph.layer_stats(v, graph.layer_map(v, table(spark, d, "layers")))
 
 
@@ -205,12 +242,12 @@ def layer_stats(spark, d):
 x AS (SELECT project, s, n, unnest(range(0, len(s))) AS depth FROM f)
 SELECT project, array_to_string(s[1:depth], '/') AS folder, CAST(depth AS INTEGER) AS depth, count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_lines FROM x GROUP BY 1, 2, 3""")
 def treemap_rollup(spark, d):
-    return graph.treemap(load(spark, d)[0])
+    return graph.treemap(load_nodes(spark, d))
 
 
 @query(GRAPH_SQL + """ SELECT project, id, node_type, complexity FROM V WHERE node_type IN ('file', 'class') AND complexity IN ('complex') AND risk_score >= 0.4""")
 def facet_filter(spark, d):
-    v, _ = load(spark, d)
+    v = load_nodes(spark, d)
     return graph.facet_filter(v, node_types=["file", "class"], complexities=["complex"], tiers=["high", "medium"]).select(*KEY, "node_type", "complexity")
 
 
@@ -222,7 +259,7 @@ def force_links(spark, d):
 @query(GRAPH_SQL + """ SELECT project, regexp_extract(file, '^(.*)/[^/]*$', 1) AS folder, string_split(file, '/')[-1] AS name, id, node_type FROM V WHERE file <> ''
 QUALIFY row_number() OVER (PARTITION BY project, file ORDER BY CASE WHEN node_type = 'file' THEN 0 ELSE 1 END, ord, id) = 1""")
 def path_tree(spark, d):
-    return graph.path_tree(load(spark, d)[0])
+    return graph.path_tree(load_nodes(spark, d))
 
 
 def _seeds(v: DataFrame) -> DataFrame:
@@ -257,7 +294,9 @@ def diff_impact(spark, d):
     return traversal.diff_impact(v, e, _seeds(v)).drop("path")
 
 
-@query()
+@query(GRAPH_SQL + _IMPACT + """, G AS (SELECT DISTINCT E.project, t.id AS a, s.id AS b, s.depth FROM E JOIN B t ON t.project = E.project AND t.id = E.target JOIN B s ON s.project = E.project AND s.id = E.source WHERE s.depth = t.depth + 1),
+Q AS (SELECT project, id, 0 AS depth, id AS path FROM S UNION ALL SELECT G.project, G.b, G.depth, min(Q.path || ' > ' || G.b) FROM Q JOIN G ON G.project = Q.project AND G.a = Q.id AND G.depth = Q.depth + 1 GROUP BY 1, 2, 3)
+SELECT project, id, depth, path FROM Q WHERE depth > 0""")
 def diff_impact_paths(spark, d):
     """One shortest path for each impacted node."""
     v, e = load(spark, d)
@@ -278,8 +317,8 @@ def shortest_path(spark, d):
 
 
 @query(GRAPH_SQL + """, I AS (SELECT DISTINCT project, source, target FROM E WHERE edge_type IN ('imports', 'depends_on')), C AS (SELECT project, source AS up, target AS id FROM I UNION SELECT C.project, I.source, C.id FROM C JOIN I ON I.project = C.project AND I.target = C.up),
-n AS (SELECT project, count(*) AS k FROM V GROUP BY 1), c AS (SELECT project, id, count(*) AS k FROM C GROUP BY 1, 2)
-SELECT V.project, V.id, coalesce(c.k, 0) AS n_dependents, round(least(coalesce(c.k, 0) / n.k, 1.0), 6) AS blast FROM V JOIN n ON n.project = V.project LEFT JOIN c ON c.project = V.project AND c.id = V.id""".replace("c AS (SELECT project, id, count(*) AS k FROM C", "cc AS (SELECT project, id, count(*) AS k FROM C").replace("LEFT JOIN c ON c.project = V.project AND c.id", "LEFT JOIN cc c ON c.project = V.project AND c.id"))
+n AS (SELECT project, count(*) AS k FROM V GROUP BY 1), k AS (SELECT project, id, count(*) AS k FROM C GROUP BY 1, 2)
+SELECT V.project, V.id, coalesce(k.k, 0) AS n_dependents, round(least(coalesce(k.k, 0) / n.k, 1.0), 6) AS blast FROM V JOIN n ON n.project = V.project LEFT JOIN k ON k.project = V.project AND k.id = V.id""")
 def blast_radius(spark, d):
     """Transitive importers of every node."""
     v, e = load(spark, d)
@@ -291,14 +330,14 @@ W AS (SELECT project, source AS first, target AS last, [source, target] AS cycle
   UNION ALL SELECT W.project, first, I.target, list_append(cycle, I.target) FROM W JOIN I ON I.project = W.project AND I.source = W.last AND I.target > first AND NOT list_contains(cycle, I.target) WHERE len(cycle) < 6)
 SELECT W.project, CAST(len(cycle) AS INTEGER) AS n, array_to_string(cycle, ' > ') AS cycle FROM W JOIN I ON I.project = W.project AND I.source = W.last AND I.target = W.first""")
 def circular_dependencies(spark, d):
-    _, e = load(spark, d)
+    e = load_edges(spark, d)
     return traversal.simple_cycles(e).select("project", "n", F.array_join("cycle", " > ").alias("cycle"))
 
 
 @query()
 def topological_order(spark, d):
     """Peel level of every node that can be ordered by its dependencies."""
-    return traversal.topological_levels(load(spark, d)[1])
+    return traversal.topological_levels(load_edges(spark, d))
 
 
 def _starts(v: DataFrame) -> DataFrame:
@@ -318,10 +357,12 @@ def risk_tour(spark, d):
     """The up to eight riskiest files of each project, riskiest first; projects with one such file have no tour."""
     from pyspark.sql import Window
 
-    v, _ = load(spark, d)
-    by = Window.partitionBy("project")
-    files = v.where("node_type = 'file' and risk_score > 0.4").withColumn("_n", F.count(F.lit(1)).over(by)).where("_n >= 2")
-    return files.withColumn("pos", F.row_number().over(by.orderBy(F.desc("risk_score"), "ord"))).where("pos <= 8").select(*KEY, F.round("risk_score", 6).alias("risk_score"), F.col("pos").cast("long").alias("pos"))
+    v = load_nodes(spark, d)
+    files = v.where("node_type = 'file' and risk_score > 0.4")
+    many = files.groupBy("project").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").drop("_n")
+    # only the eight best of each task are shuffled
+    best = files.withColumn("pos", F.row_number().over(Window.partitionBy("project").orderBy(F.desc("risk_score"), "ord"))).where("pos <= 8")
+    return best.join(many, "project", "left_semi").select(*KEY, F.round("risk_score", 6).alias("risk_score"), F.col("pos").cast("long").alias("pos"))
 
 
 @query(GRAPH_SQL + """ SELECT project, id AS node_id, 'out_degree > 20' AS heuristic FROM D JOIN V USING (project, id) WHERE node_type IN ('file', 'class', 'module') AND out_degree > 20
@@ -341,7 +382,7 @@ def orphan_files(spark, d):
     return smells.orphan_files(*load(spark, d)).select("project", "node_id")
 
 
-@query(GRAPH_SQL + """, f AS (SELECT project, id, concat_ws('|', CAST(floor(coalesce(TRY_CAST(metadata['param_count'] AS INTEGER), 0) / 2) AS BIGINT), coalesce(complexity, '')) AS sig FROM V WHERE node_type = 'function'),
+@query(GRAPH_SQL + """, f AS (SELECT project, id, concat_ws('|', CAST(floor(coalesce(TRY_CAST(metadata['param_count'] AS INTEGER), 0) / 2) AS BIGINT), CASE complexity WHEN 'complex' THEN '2' WHEN 'moderate' THEN '1' ELSE '0' END) AS sig FROM V WHERE node_type = 'function'),
 c AS (SELECT DISTINCT E.project, E.source, f.id, f.sig FROM E JOIN f ON f.project = E.project AND f.id = E.target WHERE edge_type = 'calls'),
 p AS (SELECT a.project, a.sig, a.id AS a, b.id AS b FROM c a JOIN c b ON a.project = b.project AND a.source = b.source AND a.sig = b.sig AND a.id < b.id GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2),
 s AS (SELECT project, sig, count(*) AS size FROM f GROUP BY 1, 2)
@@ -360,19 +401,19 @@ def unclear_coupling(spark, d):
 
 @query(GRAPH_SQL + """, dom AS (SELECT project, id, string_split(file, '/')[2] AS domain FROM V WHERE node_type = 'function' AND len(string_split(file, '/')) >= 2),
 c AS (SELECT h.project, h.source AS id, domain, count(*) AS n FROM (SELECT DISTINCT project, source, target FROM E WHERE edge_type = 'contains') h JOIN dom ON dom.project = h.project AND dom.id = h.target GROUP BY 1, 2, 3)
-SELECT project, id AS node_id, count(*) AS domains FROM c GROUP BY 1, 2 HAVING count(*) >= 2 AND max(n) / sum(n) <= 0.5""")
+SELECT project, id AS node_id, count(*) AS domains FROM c GROUP BY 1, 2 HAVING count(*) >= 3 AND max(n) / sum(n) < 0.5""")
 def low_cohesion(spark, d):
-    """Nodes whose contained functions come from two or more domains without a main one."""
+    """Nodes whose contained functions come from three or more domains without a main one."""
     v, e = load(spark, d)
     held = e.where("edge_type = 'contains'").select("project", F.col("source").alias("node_id"), F.col("target").alias("id")).distinct().join(domain_of(v), KEY)
-    found = smells.low_cohesion(e, domain_of(v), 2, 0.500001)
+    found = smells.low_cohesion(e, domain_of(v))
     return found.select("project", "node_id").join(held.groupBy("project", "node_id").agg(F.countDistinct("domain").alias("domains")), ["project", "node_id"])
 
 
 @query(GRAPH_SQL + """, f AS (SELECT project, id, lower(trim(label)) AS name, file FROM V WHERE node_type IN ('function', 'class') AND trim(label) <> ''), g AS (SELECT project, name, count(*) AS n FROM f GROUP BY 1, 2 HAVING count(*) >= 3 AND count(DISTINCT file) >= 3)
 SELECT project, id AS node_id, CASE WHEN n >= 5 THEN 'high' ELSE 'medium' END AS severity FROM f JOIN g USING (project, name)""")
 def name_duplicates(spark, d):
-    return smells.name_duplicates(load(spark, d)[0]).select("project", "node_id", "severity")
+    return smells.name_duplicates(load_nodes(spark, d)).select("project", "node_id", "severity")
 
 
 @query()
@@ -386,24 +427,47 @@ def all_smells(spark, d):
 SELECT project, w.category AS category, w.severity AS severity, count(*) AS n_warnings, count(DISTINCT """ + _CANON.format("id") + """) AS n_nodes FROM x GROUP BY 1, 2, 3""")
 def smell_summary(spark, d):
     """The warnings recorded on the nodes."""
-    v, _ = load(spark, d)
+    v = load_nodes(spark, d)
     w = v.select("project", F.col("id").alias("node_id"), F.explode("structural_warnings").alias("w")).select("project", "node_id", "w.category", "w.severity")
     return smells.smell_summary(w)
 
 
-@query()
+_RISK = """, CM AS (SELECT DISTINCT commit_id, project, file, commit_date, author FROM commits),
+CK AS (SELECT *, CASE WHEN regexp_matches(commit_date, '[+-][0-9]{2}:?[0-9]{2}$') THEN CAST(regexp_replace(replace(commit_date, 'T', ' '), ' ?([+-][0-9]{2}):?([0-9]{2})$', '\\1:\\2') AS TIMESTAMPTZ) AT TIME ZONE 'UTC'
+  ELSE TRY_CAST(replace(replace(commit_date, 'T', ' '), 'Z', '') AS TIMESTAMP) END AS moment FROM CM),
+CH AS (SELECT project, 'file:' || file AS id, count(*) FILTER (moment >= (SELECT max(moment) FROM CK) - INTERVAL 90 DAY) AS freq, count(*) FILTER (moment >= (SELECT max(moment) FROM CK) - INTERVAL 14 DAY) AS recent,
+  count(DISTINCT CASE WHEN author <> '' THEN author END) AS n_authors FROM CK WHERE file IS NOT NULL GROUP BY 1, 2),
+A AS (SELECT DISTINCT project, source, target FROM E), C AS (SELECT project, source AS up, target AS id FROM A UNION SELECT C.project, A.source, C.id FROM C JOIN A ON A.project = C.project AND A.target = C.up),
+NN AS (SELECT project, count(*) AS k FROM V GROUP BY 1), CC AS (SELECT project, id, count(*) AS k FROM C GROUP BY 1, 2),
+I AS (SELECT DISTINCT project, source, target FROM E WHERE edge_type IN ('imports', 'depends_on') AND source <> target),
+W AS (SELECT project, source AS first, target AS last, [source, target] AS cycle FROM I WHERE source < target
+  UNION ALL SELECT W.project, first, I.target, list_append(cycle, I.target) FROM W JOIN I ON I.project = W.project AND I.source = W.last AND I.target > first AND NOT list_contains(cycle, I.target) WHERE len(cycle) < 6),
+X AS (SELECT DISTINCT project, unnest(cycle) AS id FROM (SELECT W.project, cycle FROM W JOIN I ON I.project = W.project AND I.source = W.last AND I.target = W.first)),
+TT AS (SELECT DISTINCT project, target AS id FROM E WHERE edge_type IN ('tested_by', 'calls') AND EXISTS (SELECT 1 FROM V WHERE V.project = E.project AND V.id = E.source AND regexp_matches(V.label, '\\.(test|spec)\\.[jt]sx?$'))),
+Y AS (SELECT project, """ + _CANON.format("m") + """ AS id, count(DISTINCT tour_id) AS n_tours FROM (SELECT project, id AS tour_id, unnest(node_ids) AS m FROM layers) WHERE m <> '' GROUP BY 1, 2),
+P AS (SELECT V.project, V.id, coalesce(len(structural_warnings), 0) AS n_warnings, degree, X.id IS NOT NULL AS circular, TT.id IS NOT NULL AS tested, coalesce(freq, 0) AS freq, coalesce(recent, 0) AS recent, coalesce(n_authors, 0) AS n_authors,
+  coalesce(n_tours, 0) AS n_tours, round(least(coalesce(CC.k, 0) / NN.k, 1.0), 6) AS blast FROM V JOIN D USING (project, id) JOIN NN ON NN.project = V.project LEFT JOIN CC ON CC.project = V.project AND CC.id = V.id
+  LEFT JOIN X ON X.project = V.project AND X.id = V.id LEFT JOIN TT ON TT.project = V.project AND TT.id = V.id LEFT JOIN CH ON CH.project = V.project AND CH.id = V.id LEFT JOIN Y ON Y.project = V.project AND Y.id = V.id
+  WHERE node_type <> 'config' AND NOT coalesce(regexp_matches(label, '\\.(test|spec)\\.[jt]sx?$'), false)),
+R AS (SELECT *, least(least(degree / 40.0, 1.0) + CASE WHEN circular THEN 0.2 ELSE 0.0 END, 1.0) AS coupling, CASE WHEN tested THEN 0.0 ELSE 0.5 + least(blast / 2, 0.5) END AS test_gap, least(freq / 20.0, 1.0) AS churn FROM P)
+SELECT project, id, blast, round(coupling, 9) AS coupling, round(test_gap, 9) AS test_gap, round(churn, 9) AS churn, round(least(greatest(0.35 * blast + 0.25 * coupling + 0.25 * test_gap + 0.15 * churn, 0.0), 1.0), 9) AS risk,
+array_to_string(list_filter([CASE WHEN coupling > 0.6 THEN 'high_coupling' END, CASE WHEN test_gap > 0.5 THEN 'no_test_coverage' END, CASE WHEN churn > 0.5 THEN 'frequent_changes' END, CASE WHEN blast > 0.5 THEN 'large_blast_radius' END,
+  CASE WHEN n_tours >= 2 AND blast > 0.3 THEN 'critical_path' END, CASE WHEN n_authors = 1 AND freq > 5 THEN 'single_author' END, CASE WHEN recent >= 3 THEN 'recent_churn' END, CASE WHEN n_warnings > 0 THEN 'has_structural_warnings' END], lambda f: f IS NOT NULL), ',') AS factors FROM R"""
+
+
+@query(GRAPH_SQL + _RISK)
 def risk_scores(spark, d):
-    """Risk of every node, with its factors."""
+    """Risk of every node over all edges, layers read as tours, with its factors."""
     v, e = load(spark, d)
-    blast = cut(traversal.blast_radius(v, e, ("imports", "depends_on")))
+    blast = cut(traversal.blast_radius(v, e))
     circular = traversal.simple_cycles(e).select("project", F.explode("cycle").alias("id")).distinct()
-    found = risk.risk_scores(v, e, blast, changes_of(spark, d), None, circular)
+    found = risk.risk_scores(v, e, blast, changes_of(spark, d), views.tour_counts(layer_steps(spark, d)), circular)
     return found.withColumn("factors", F.array_join("factors", ","))
 
 
 @query(GRAPH_SQL + " SELECT project, CASE WHEN risk_score IS NULL THEN 'none' WHEN risk_score >= 0.7 THEN 'high' WHEN risk_score >= 0.4 THEN 'medium' ELSE 'low' END AS tier, count(*) AS n_nodes FROM V GROUP BY 1, 2")
 def risk_tiers(spark, d):
-    return risk.risk_summary(load(spark, d)[0], "risk_score")
+    return risk.risk_summary(load_nodes(spark, d), "risk_score")
 
 
 @query(GRAPH_SQL + """, sz AS (SELECT project, count(*) AS n_nodes, count(*) FILTER (risk_score >= 0.7) AS risk_high, count(*) FILTER (risk_score >= 0.4 AND risk_score < 0.7) AS risk_medium, count(*) FILTER (risk_score < 0.4) AS risk_low FROM V GROUP BY 1),
@@ -425,6 +489,22 @@ def health_report(spark, d):
     return risk.health_report(v, e, w, s)
 
 
-@query()
+def _integrity_sql() -> str:
+    from ..model import EDGE_TYPES, NODE_TYPES
+
+    listed = lambda values: ", ".join(f"'{v}'" for v in values)
+    return GRAPH_SQL + f""", F1 AS (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY edge_id) = 1), H AS (SELECT project, unnest([source, target]) AS x FROM F1),
+M AS (SELECT project, layer_id, {_CANON.format("m")} AS id FROM (SELECT project, id AS layer_id, unnest(node_ids) AS m FROM (SELECT * FROM layers QUALIFY row_number() OVER (PARTITION BY project, id) = 1)) WHERE m <> ''), Z AS (
+  SELECT project, 'unknown_node_type' AS rule, 'critical' AS severity, coalesce(node_type, 'null') AS subject FROM V WHERE coalesce(node_type NOT IN ({listed(NODE_TYPES)}), true)
+  UNION ALL SELECT project, 'unknown_edge_type', 'critical', coalesce(edge_type, 'null') FROM F1 WHERE coalesce(edge_type NOT IN ({listed(EDGE_TYPES)}), true)
+  UNION ALL SELECT project, 'missing_endpoint', 'critical', id FROM (SELECT project, {_CANON.format("x")} AS id FROM H WHERE x <> '') h WHERE NOT EXISTS (SELECT 1 FROM V WHERE V.project = h.project AND V.id = h.id)
+  UNION ALL SELECT project, 'self_edge', 'warning', {_CANON.format("source")} FROM F1 WHERE {_CANON.format("source")} = {_CANON.format("target")}
+  UNION ALL SELECT project, 'repeated_node', 'critical', 'all' FROM (SELECT project, {_CANON.format("id")} AS id FROM nodes WHERE id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1)
+  UNION ALL SELECT project, 'file_without_summary', 'warning', 'all' FROM V WHERE node_type = 'file' AND coalesce(summary, '') = ''
+  UNION ALL SELECT project, 'layer_missing_node', 'warning', layer_id FROM M WHERE NOT EXISTS (SELECT 1 FROM V WHERE V.project = M.project AND V.id = M.id)
+) SELECT project, rule, severity, subject, count(*) AS n FROM Z GROUP BY 1, 2, 3, 4"""
+
+
+@query(_integrity_sql())
 def integrity_issues(spark, d):
     return risk.integrity_issues(table(spark, d, "nodes"), table(spark, d, "edges"), table(spark, d, "layers"))
