@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -13,17 +15,16 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], size: str) -> DataF
     """df with _row (0, 1, ...) and _before (sum of size before the row) within each group, in the given order.
 
     A range shuffle by (group, order) spreads a group over as many tasks as its rows need. Each task adds up its
-    own rows; the per-task totals, at most one row for each task and group met there, give the offsets. group,
+    own rows; running sums of the per-task totals, at most one row for each task and group met there, give the offsets. group,
     order and size must not be null; order must be unique within a group for a definite result. The sorted rows
     are written to the checkpoint folder once, so that row numbers stay the same when a task runs again."""
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     ordered = cut(df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order).withColumn("_task", F.spark_partition_id()))
     totals = ordered.groupBy(group, "_task").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(size).cast("long")).alias("_s"))
-    lower = totals.select(F.col(group).alias("_g"), F.col("_task").alias("_t"), F.col("_n").alias("_ln"), F.col("_s").alias("_ls"))
-    offsets = (
-        totals.join(lower, (F.col(group) == F.col("_g")) & (F.col("_t") < F.col("_task")), "left")
-        .groupBy(group, "_task").agg(F.coalesce(F.sum("_ln"), F.lit(0)).alias("_rows_before"), F.coalesce(F.sum("_ls"), F.lit(0)).alias("_sum_before"))
+    before = Window.partitionBy(group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        group, "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows_before"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_sum_before")
     )
     schema = ordered.schema
     names = schema.names
@@ -33,13 +34,19 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], size: str) -> DataF
     def run(batches):
         now, row, total = None, 0, 0
         for b in batches:
-            rows, sums = [], []
-            for g, s in zip(b.column(at_group).to_pylist(), b.column(at_size).to_pylist()):
-                if g != now:
-                    now, row, total = g, 0, 0
-                rows.append(row)
-                sums.append(total)
-                row, total = row + 1, total + int(s)
+            n = b.num_rows
+            if not n:
+                continue
+            groups, sizes = b.column(at_group), b.column(at_size).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(pc.not_equal(groups[1:], groups[:-1]).to_numpy(zero_copy_only=False)) + 1])
+            lengths = np.diff(np.append(starts, n))
+            summed = np.concatenate([[0], np.cumsum(sizes)])
+            rows = np.arange(n) - np.repeat(starts, lengths)
+            sums = summed[:-1] - np.repeat(summed[starts], lengths)
+            if groups[0].as_py() == now:  # the group goes on from the batch before
+                rows[: lengths[0]] += row
+                sums[: lengths[0]] += total
+            now, row, total = groups[n - 1].as_py(), int(rows[-1]) + 1, int(sums[-1] + sizes[-1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.int64()), pa.array(sums, pa.int64())], names=[*names, "_local_row", "_local_sum"])
 
     placed = ordered.mapInArrow(run, ddl).join(offsets, [group, "_task"])
