@@ -1,10 +1,11 @@
 """Filling containers of fixed capacity: histogram packing by non-negative least squares.
 
 Only the histogram of item lengths matters for the plan, and it has at most ``capacity`` entries whatever the
-number of items. Shallow patterns (up to DEPTH different lengths, each repeated) whose total lies in the window
-just below the capacity are enumerated; non-negative least squares finds how often to use each so that the
-histogram is met; the counts are rounded down, and the rest is packed greedily, longest first, again as patterns
-with repeat counts. The items are then numbered within each length by distributed prefix sums and look up their
+number of items. Shallow patterns (up to DEPTH different lengths, each repeated no more than there are items) whose
+total lies in the window just below the capacity are enumerated; non-negative least squares, solved to convergence, finds
+how often to use each so that the histogram is met; the counts are rounded with the residue carried to the next pattern,
+and the same is done again with what is left while that fills containers. The rest is packed greedily, longest first,
+again as patterns with repeat counts. The items are then numbered within each length by distributed prefix sums and look up their
 container in the plan.
 
 Defined results
@@ -28,66 +29,63 @@ from pyspark.sql import functions as F
 from ..operators.ordered import prefix_sums
 from ..session import cut
 
-DEPTH = 3
-#: Patterns fill the capacity up to this share of it; lengths tried as partners; rounds of the solver.
-WINDOW, PARTNERS, SWEEPS = 0.01, 24, 15
+DEPTH = 6
+#: Patterns fill the capacity up to this share of it; the solver stops when no repeat count moves by more than this part of
+#: the largest count.
+WINDOW, MOVED = 0.001, 1e-3
 
 
 def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, int], ...]]:
-    """Shallow patterns ((length, repeats), ...) in the window below the capacity, longest length first: for each
-    length a few repeats, for each of these a few partners with their repeats, and the best third length."""
+    """Shallow patterns ((length, repeats), ...) in the window below the capacity, longest length first: each length, once
+    or as often as it goes, with several partners, and then the longest that fit until the window is reached."""
     lengths = sorted(histogram)
     slack = max(1, int(capacity * WINDOW))
-    common = sorted(lengths, key=lambda x: -histogram[x] * x)[:PARTNERS]
+    common = sorted(lengths, key=lambda x: -histogram[x] * x)
     found: dict[tuple, None] = {}
 
-    def largest(space: int) -> int:
+    def largest(space: int, head: dict[int, int]) -> int:
         i = bisect_right(lengths, space)
+        while i and lengths[i - 1] in head:
+            i -= 1
         return lengths[i - 1] if i else 0
 
-    def close(head: list[tuple[int, int]], space: int) -> None:
-        if 0 <= space <= slack:
-            merged: dict[int, int] = defaultdict(int)
-            for length, n in head:
-                merged[length] += n
-            found[tuple(sorted(merged.items(), reverse=True))] = None
-
     for k, a in enumerate(lengths):
-        for times in {1, capacity // a}:
+        most = min(histogram[a], capacity // a)
+        for times in {1, (most + 1) // 2, most}:
             rest = capacity - times * a
-            close([(a, times)], rest)
-            for b in {largest(rest), largest(rest // 2), common[k % len(common)], common[(7 * k + 3) % len(common)]}:
-                if 0 < b <= rest:
-                    n = rest // b
-                    space = rest - n * b
-                    close([(a, times), (b, n)], space)
-                    if DEPTH >= 3 and (c := largest(space)):
-                        close([(a, times), (b, n), (c, space // c)], space % c)
+            for b in {0, largest(rest, {a: 1}), largest(rest // 2, {a: 1}), common[k % len(common)], common[(7 * k + 3) % len(common)]}:
+                head, space = {a: times}, rest
+                if b == a or b > rest:
+                    continue
+                if b:
+                    head[b] = min(histogram[b], rest // b)
+                    space -= head[b] * b
+                while space > slack and len(head) < DEPTH and (c := largest(space, head)):
+                    head[c] = min(histogram[c], space // c)
+                    space -= head[c] * c
+                if space <= slack:
+                    found[tuple(sorted(head.items(), reverse=True))] = None
     return list(found)
 
 
-def solve(columns: list[tuple[tuple[int, int], ...]], histogram: dict[int, int], sweeps: int = SWEEPS) -> np.ndarray:
+def solve(columns: list[tuple[tuple[int, int], ...]], histogram: dict[int, int]) -> np.ndarray:
     """Non-negative least squares by coordinate descent: repeat counts x >= 0 that bring the patterns' lengths
-    closest to the histogram, each length weighted by its tokens."""
+    closest to the histogram, each length weighted by its tokens. Every step lowers a convex sum, so it converges."""
     index = {length: i for i, length in enumerate(histogram)}
     left = [float(n) for n in histogram.values()]
     cells = [[(index[a], float(n), a * float(n)) for a, n in p] for p in columns]
     norms = [sum(n * w for _, n, w in c) for c in cells]
     x = [0.0] * len(columns)
-    scale = max(left, default=1.0)
-    for _ in range(sweeps):
+    moved, least = 1.0, MOVED * max(left, default=1.0)
+    while moved >= least:
         moved = 0.0
         for k, c in enumerate(cells):
-            step = sum(w * left[i] for i, _, w in c) / norms[k]
-            if step < -x[k]:
-                step = -x[k]
+            step = max(-x[k], sum(w * left[i] for i, _, w in c) / norms[k])
             if step:
                 x[k] += step
                 for i, n, _ in c:
                     left[i] -= step * n
                 moved = max(moved, abs(step))
-        if moved < 1e-3 * scale:
-            break
     return np.array(x)
 
 
@@ -98,19 +96,24 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int
     if not left:
         return out
 
-    def use(pattern, times):
+    def use(pattern, times) -> int:
         times = min([times, *[left[a] // n for a, n in pattern]])
         if times > 0:
             out.append((pattern, times))
             for a, n in pattern:
                 left[a] -= n * times
-
-    columns = patterns(left, capacity)
-    if columns:
-        x = solve(columns, left)
-        for k in np.argsort(-x):
-            if x[k] >= 1:
-                use(columns[k], int(x[k] + 1e-9))
+        return max(times, 0)
+
+    filled = 1
+    while filled:
+        filled, carried = 0, 0.0
+        there = {a: n for a, n in left.items() if n}
+        columns = patterns(there, capacity) if there else []
+        x = solve(columns, there)
+        for k in np.argsort(-x, kind="stable"):
+            wanted = x[k] + carried
+            times = use(columns[k], int(wanted + 1e-9))
+            carried, filled = wanted - times, filled + times
     lengths = sorted(a for a, n in left.items() if n)
     while lengths:  # greedy: the longest item, then always the longest that still fits
         pattern, space, at = [], capacity, len(lengths)
@@ -145,9 +148,9 @@ PACKED = "container_kind string, container_id long, doc_id long, piece_no int, n
 
 
 def pack(sized: DataFrame, limits: DataFrame) -> DataFrame:
-    """sized: (doc_id, n_tokens); limits: (container_kind, capacity_tokens), a fixed table. Returns PACKED: every
+    """sized: (doc_id, n_tokens); limits: (container_kind, capacity_tokens), a fixed table of a few rows that is brought back whole. Returns PACKED: every
     item, or piece of an oversized one, with its container."""
-    kinds = {r[0]: int(r[1]) for r in limits.select("container_kind", "capacity_tokens").distinct().orderBy("container_kind").limit(1000).collect() if r[0] is not None and r[1] and r[1] >= 1}
+    kinds = {r[0]: int(r[1]) for r in limits.select("container_kind", "capacity_tokens").distinct().collect() if r[0] is not None and r[1] and r[1] >= 1}
     if not kinds:
         return sized.sparkSession.createDataFrame([], PACKED)
     sized = cut(sized.select(F.col("doc_id").cast("long"), F.col("n_tokens").cast("long")))
@@ -174,25 +177,25 @@ def pack(sized: DataFrame, limits: DataFrame) -> DataFrame:
 
     def run(batches):
         schema = pa.schema([("container_kind", pa.string()), ("container_id", pa.int64()), ("doc_id", pa.int64()), ("piece_no", pa.int32()), ("n_tokens", pa.int64())])
-        starts: dict = {}
+        known: dict = {}
         for b in batches:
-            col = {c: b.column(i).to_pylist() for i, c in enumerate(("container_kind", "doc_id", "whole", "rest", "_row"))}
-            out = []
-            for kind, doc, full, rest_, row in zip(*col.values()):
-                if not rest_:
-                    container = 0
-                    if full:
-                        continue
-                else:
-                    runs = held.value[kind][rest_]
-                    key = (kind, rest_)
-                    if key not in starts:
-                        starts[key] = np.array([r[0] for r in runs])
-                    first, base, each = runs[int(np.searchsorted(starts[key], row, side="right")) - 1]
-                    container = base + (row - first) // each
-                out.append((kind, container, doc, full, rest_))
-            if out:
-                yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
+            kinds, (whole, rest_, row) = b.column(0).to_pylist(), (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+            container, kept = np.zeros(len(kinds), np.int64), np.ones(len(kinds), bool)
+            ends = np.append(np.flatnonzero((rest_[1:] != rest_[:-1]) | np.array([x != y for x, y in zip(kinds[1:], kinds)], bool)) + 1, len(kinds))
+            at = 0
+            for end in ends if len(kinds) else ():  # rows of one kind and length lie together
+                here, key = slice(at, int(end)), (kinds[at], int(rest_[at]))
+                at = int(end)
+                if not key[1]:
+                    kept[here] = whole[here] == 0
+                    continue
+                if key not in known:
+                    known[key] = np.array(held.value[key[0]][key[1]]).T
+                first, base, each = known[key]
+                k = np.searchsorted(first, row[here], side="right") - 1
+                container[here] = base[k] + (row[here] - first[k]) // each[k]
+            columns = [b.column(0), pa.array(container), b.column(1), pa.array(whole, pa.int32()), b.column(3)]
+            yield pa.record_batch(columns, schema=schema).filter(pa.array(kept))
 
     packed = placed.select("container_kind", "doc_id", "whole", "rest", "_row").mapInArrow(run, PACKED)
     if not any(fulls.values()):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import sys
 from functools import lru_cache
 
@@ -10,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import spread_scan
 
 #: Where the public vocabularies lie, and the one to count with.
 FOLDER, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
-_BLOCK = 200_000
+_BLANKS = re.compile(r"[^\S\x1c-\x1f]{1000,}")
 
 
 @lru_cache(maxsize=4)
@@ -33,28 +34,23 @@ def _encoder(path: str):
 
 
 def count(text: str | None, path: str) -> int:
-    """Tokens of a text; very long texts are encoded in blocks cut at white space, which the pattern never joins over."""
+    """Tokens of a whole text. Very long runs of white space, on which the pattern would run out of stack, are encoded as
+    the one piece the pattern makes of them: all of the run but the last character, which goes with what follows."""
     if not text:
         return 0
-    encode = _encoder(path).encode_ordinary
-    if len(text) <= _BLOCK:
-        return len(encode(text))
+    encoder = _encoder(path)
     total, at = 0, 0
-    while at < len(text):
-        end = min(len(text), at + _BLOCK)
-        while end < len(text) and end > at + 1 and not (text[end] == " " and not text[end - 1].isspace()):
-            end -= 1
-        if end <= at + 1:
-            end = min(len(text), at + _BLOCK)
-        total += len(encode(text[at:end]))
+    for m in _BLANKS.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        total += len(encoder.encode_ordinary(text[at : m.start()])) + len(encoder._encode_single_piece(text[m.start() : end]))
         at = end
-    return total
+    return total + len(encoder.encode_ordinary(text[at:] if at else text))
 
 
 def token_counts(df: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = (), path: str = f"{FOLDER}/{VOCABULARY}") -> DataFrame:
     """key, the kept columns and n_tokens of every row. Null and empty texts have none."""
     columns = [key, *keep]
-    source = spread(df.select(*columns, F.col(text).alias("_text")))
+    source = spread_scan(df.select(*columns, F.col(text).alias("_text")))
     ddl = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in columns) + ", n_tokens long"
 
     def run(batches):

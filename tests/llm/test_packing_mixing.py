@@ -79,3 +79,26 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world", 3), (2, None, 3), (3, "", 3), (4, "<|endoftext|>", 3)], "doc_id long, text string, n_tokens int")
     got = {r.doc_id: r.n_tokens for r in tokens.token_counts(df, "doc_id").collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1
+
+
+def test_counts_are_of_whole_texts():
+    path = f"{tokens.FOLDER}/{tokens.VOCABULARY}"
+    whole = lambda t: len(tokens._encoder(path).encode_ordinary(t))
+    for text in ("a " * 1500 + " " * 1500 + "b", "x" + "\n" * 2000, "x\t" + " " * 1200 + "\n y", "\n" * 1500 + "é", "x" + " " * 1000 + "\x1cy" + " " * 1001, "abc" * 100_000):
+        assert tokens.count(text, path) == whole(text)
+    assert tokens.count(" " * 1_000_000 + "x", path) > 1000
+
+
+def test_most_containers_come_from_the_least_squares_plan(monkeypatch):
+    rng = random.Random(3)
+    histogram = Counter(min(8192, max(5, int(rng.lognormvariate(4.6, 1)))) for _ in range(10_000))
+    used = sum(times for _, times in packing.plan(dict(histogram), 8192))
+    monkeypatch.setattr(packing, "patterns", lambda *_: [])
+    greedy = packing.plan(dict(histogram), 8192)
+    assert used <= sum(times for _, times in greedy)
+    monkeypatch.undo()
+    counts = dict(histogram)
+    columns = packing.patterns(counts, 8192)
+    assert columns and all(8192 - 8192 * packing.WINDOW - 1 <= sum(a * n for a, n in c) <= 8192 and all(n <= counts[a] for a, n in c) for c in columns)
+    x = packing.solve(columns, counts)
+    assert (x >= 0).all() and x.sum() > 0.5 * used  # the solution itself serves most containers
