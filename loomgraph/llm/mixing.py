@@ -30,7 +30,8 @@ def prepare(sized: DataFrame, seed: int = SEED) -> DataFrame:
     keyed = sized.where(F.col("source").isNotNull() & (F.col("n_tokens") > 0) & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long"), "source", F.col("n_tokens").cast("long"), F.xxhash64(F.lit(seed), "doc_id").alias("key")
     )
-    return cut(prefix_sums(keyed, "source", ["key", "doc_id"], "n_tokens").select("doc_id", "source", "n_tokens", "_before"))
+    # the range sort reads its input twice, to sample and to sort: the tokens are counted once, before it
+    return cut(prefix_sums(cut(keyed), "source", ["key", "doc_id"], "n_tokens").select("doc_id", "source", "n_tokens", "_before"))
 
 
 def budgets(prepared: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
