@@ -6,6 +6,8 @@ within a file, runs in an Arrow stage. files: (project, path, lang_name, content
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from functools import reduce
 
 import pyarrow as pa
@@ -198,6 +200,32 @@ def symbols(files: DataFrame) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("project", "path", "kind", "name", "line_no", "exported", "is_async")
 
 
+def closings(text: str):
+    """(number of lines, line -> the line on which the braces opened from it on are closed again, or None), from one pass
+    over the braces of the text; each line is then looked up by bisection."""
+    at, depths, opens, closed, depth, line, last = [], [], [], {}, 0, 1, 0
+    for k, m in enumerate(re.finditer(r"[{}]", text)):
+        line, last = line + text.count("\n", last, m.start()), m.start()
+        depth += 1 if m.group() == "{" else -1
+        at.append(line)
+        depths.append(depth)
+        if m.group() == "{":
+            opens.append(k)
+        else:
+            closed.setdefault(depth, []).append(k)
+
+    def ends(start: int) -> int | None:
+        first = bisect_left(at, start)
+        o = bisect_left(opens, first)
+        if o == len(opens):
+            return None
+        level = closed.get(depths[first - 1] if first else 0, [])
+        c = bisect_left(level, opens[o])
+        return at[level[c]] if c < len(level) else None
+
+    return text.count("\n") + 1, ends
+
+
 def symbol_ends(found: DataFrame, files: DataFrame) -> DataFrame:
     """symbols with end_line: where the braces opened from its line on are closed again, else five lines on."""
     starts = found.groupBy("project", "path").agg(F.array_sort(F.collect_set("line_no")).alias("starts"))
@@ -207,21 +235,8 @@ def symbol_ends(found: DataFrame, files: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for project, path, begin, content in zip(*(b.column(i).to_pylist() for i in range(4))):
-                text = (content or "").split("\n")
-                for s in begin:
-                    depth, opened, end = 0, False, None
-                    for i in range(s - 1, len(text)):
-                        for c in text[i]:
-                            if c == "{":
-                                depth, opened = depth + 1, True
-                            elif c == "}":
-                                depth -= 1
-                                if opened and depth == 0:
-                                    end = i + 1
-                                    break
-                        if end:
-                            break
-                    out.append((project, path, s, end or min(s + 5, len(text))))
+                n_lines, ends = closings(content or "")
+                out += [(project, path, s, ends(s) or min(s + 5, n_lines)) for s in begin]
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int32(), pa.int32()))], names=["project", "path", "line_no", "end_line"])
 
@@ -299,19 +314,42 @@ LESSONS = (
 )
 
 
+#: What makes a lesson of high confidence: any of the groups, each of (patterns, least matches in all) that must all hold.
+_SWITCH, _ENUM, _STATE = r"switch\s*\(\s*(?:this\.)?\w*[Ss]tate\w*\s*\)", r"enum\s+\w*[Ss]tate\w*\s*\{", r"\bState\.\w+"
+SURE = {
+    "finite_state_machine": (((_SWITCH,), 1, (_ENUM,), 1), ((_SWITCH,), 1, (_STATE,), 3)), "generators": (((r"function\s*\*",), 1, (r"\byield\b",), 2),),
+    "observers": (((r"\baddEventListener\b",), 2), ((r"\bsubscribe\s*\(",), 2), ((r"\bon\s*\(",), 1, (r"\bemit\s*\(",), 1)), "streams": (((r"\.pipe\(", r"\bObservable\b", r"\bSubject\b", r"\bStream\b"), 3),),
+    "dependency_injection": (((r"@(?:Injectable|Inject)\b",), 1),), "decorators": (((r"@(?:Injectable|Inject|Component|Directive|Pipe|Module|Controller|Get|Post|Put|Delete|Patch|Body|Param|Query)\b",), 1),),
+    "generics": (((r"<T(?:\s+extends[^>]*)?\s*>", r"<T\s+extends\b", r":\s*Generic\["), 5),),
+    "closures": (((r"function\s+\w+\s*\([^)]*\)\s*\{[\s\S]*?return\s+function",), 1), ((r"function\s+\w+\s*\([^)]*\)\s*\{[\s\S]*?return\s+(?:async\s+)?(?:\([^)]*\)|[a-zA-Z_]\w*)\s*=>",), 1)),
+    "immutability": (((r"\bObject\.freeze\s*\(", r"\bas\s+const\b", r"\breadonly\b", r"\bImmutable\w+"), 5),),
+    "middleware": (((r"\(\s*req\s*,\s*res\s*,\s*next\s*\)",), 1, (r"\bapp\.use\s*\(", r"\brouter\.use\s*\("), 1),),
+    "promises": (((r"\.then\(", r"\.catch\(", r"new\s+Promise\("), 4),), "async_await": (((r"\bawait\b",), 4),),
+}
+
+
+def _sure(name: str) -> Column:
+    def group(parts) -> Column:
+        pairs = zip(parts[::2], parts[1::2])
+        return reduce(lambda a, b: a & b, [sum((F.regexp_count("content", F.lit(p)) for p in patterns), F.lit(0)) >= least for patterns, least in pairs])
+
+    return reduce(lambda a, b: a | b, [group(g) for g in SURE[name]])
+
+
 def language_lessons(files: DataFrame) -> DataFrame:
-    """project, path, lesson, first_line, last_line: the first lesson, in order of priority, that a file shows."""
+    """project, path, lesson, first_line, last_line, confidence (high or medium): the first lesson, in order of priority, that a
+    file shows."""
     options = []
     for name, languages, counted, least, enough in LESSONS:
         hit = reduce(lambda a, b: a | b, [F.col("content").rlike(p) for p in enough]) if enough else sum((F.regexp_count("content", F.lit(p)) for p in counted), F.lit(0)) >= least
         if languages:
             hit = hit & F.col("language").isin(*languages)
         at = F.coalesce(*[F.nullif(F.regexp_instr("content", F.lit(p)), F.lit(0)) for p in (enough or counted)])
-        options.append(F.when(hit, F.struct(F.lit(name).alias("lesson"), at.alias("at"))))
+        options.append(F.when(hit, F.struct(F.lit(name).alias("lesson"), at.alias("at"), F.when(_sure(name), "high").otherwise("medium").alias("confidence"))))
     found = with_language(files).withColumn("x", F.coalesce(*options)).where("x is not null")
     before = F.substring(F.col("content"), F.lit(1), F.coalesce(F.col("x.at"), F.lit(1)))
     first = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    return found.select("project", "path", "x.lesson", first.alias("first_line"), F.least(first + 5, F.size(F.split("content", "\n"))).alias("last_line"))
+    return found.select("project", "path", "x.lesson", first.alias("first_line"), F.least(first + 5, F.size(F.split("content", "\n"))).alias("last_line"), "x.confidence")
 
 
 def fingerprints(files: DataFrame) -> DataFrame:

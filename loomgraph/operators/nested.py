@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 @dataclass(frozen=True)
 class ListOf:
@@ -180,14 +182,14 @@ def flat_table(shredded: DataFrame, kind: str, columns: dict[str, str] | list[st
     )
 
 
-#: Scalar fields of each table of a knowledge-graph payload.
+#: Fields of each table of a knowledge-graph payload; lists of plain values come as their JSON text.
 TABLES = {
-    "node": {"type": "string", "label": "string", "summary": "string", "decision_context.change_frequency": "int"},
+    "node": {"type": "string", "label": "string", "summary": "string", "decision_context.last_changed": "string", "decision_context.change_frequency": "int", "decision_context.rationale_snippets": "string", "decision_context.pr_references": "string", "decision_context.changelog_entries": "string"},
     "commit": {"date": "string", "message": "string", "author": "string"},
     "author": {},
-    "warning": {"severity": "string", "description": "string"},
+    "warning": {"severity": "string", "description": "string", "heuristic": "string"},
     "related": {},
-    "domain": {"label": "string"},
+    "domain": {"label": "string", "summary": "string", "entities": "string"},
     "flow": {"label": "string"},
     "step": {"label": "string", "weight": "double"},
     "step_node": {},
@@ -195,6 +197,6 @@ TABLES = {
 
 
 def flat_tables(df: DataFrame, **kwargs) -> dict[str, DataFrame]:
-    """kind -> flat table, all from one shredding."""
-    shredded = shred(df, **kwargs)
+    """kind -> flat table, all from one shredding, which is written to the checkpoint folder so that payloads are read once."""
+    shredded = cut(shred(df, **kwargs))
     return {kind: flat_table(shredded, kind, columns) for kind, columns in TABLES.items()}

@@ -26,7 +26,7 @@ def _matches(column: Column, tokens: list[str]) -> Column:
 
 
 def keyword_search(nodes: DataFrame, text: str, limit: int = 10, node_types: list[str] | None = None) -> DataFrame:
-    """project, id, label, score and total of the best nodes: 5 exact label, 4 label holds the phrase, 3 id or summary
+    """project, id, label and score of the best nodes: 5 exact label, 4 label holds the phrase, 3 id or summary
     does, 1 + share of words in the label, 0.5 + share in the id, 0.5 a word in the summary; then by risk, then order."""
     q, tokens = text.lower(), _tokens(text)
     i, label, summary = F.lower("id"), F.lower(F.coalesce("label", F.lit(""))), F.lower(F.coalesce("summary", F.lit("")))

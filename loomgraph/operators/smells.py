@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model
@@ -56,15 +56,31 @@ def unstable_interfaces(nodes: DataFrame, edges: DataFrame, changes: DataFrame,
     return _warning(hot, "unstable_interface", "high", f"change_frequency > {frequency} and in_degree > {in_degree}")
 
 
+def overlapping(sets: DataFrame, group: list[str], least: Column) -> DataFrame:
+    """sets (*group, id, item), rows distinct -> *group, a, b, na, nb, k: the pairs a < b of a group that may share ``least``
+    items, with the sizes of their sets and the number k they share. least: the overlap a set of size n needs.
+
+    Prefix filtering: with every set's items in one order, the rarest first, two sets that share m items share one among
+    the first n - m + 1 of each. Items held by nearly all come last, so they bring no pairs together, and nothing is lost."""
+    by = [*group, "id"]
+    sizes = sets.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    common = sets.groupBy(*group, "item").agg(F.count(F.lit(1)).alias("_held"))
+    order = Window.partitionBy(*by).orderBy("_held", "item")
+    first = sets.join(common, [*group, "item"]).join(sizes, by).withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= F.col("n") - least + 1).select(*by, "item", "n")
+    a, b = first.withColumnsRenamed({"id": "a", "n": "na"}), first.withColumnsRenamed({"id": "b", "n": "nb"})
+    met = a.join(b, [*group, "item"]).where("a < b").select(*group, "a", "b", "na", "nb").distinct()
+    whole = met.join(sets.withColumnRenamed("id", "a"), [*group, "a"]).join(sets.withColumnRenamed("id", "b"), [*group, "b", "item"])
+    return whole.groupBy(*group, "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
+
+
 def duplicate_logic(nodes: DataFrame, edges: DataFrame, shared: int = 2) -> DataFrame:
     """Functions of one signature (parameters in twos; complexity, null counting as simple) called by ``shared`` or more of the same nodes.
-    Pairs meet on (project, caller, signature); severity goes by the size of the signature's group."""
+    Pairs meet by overlapping(); severity goes by the size of the signature's group."""
     params = F.col("metadata").getItem("param_count").try_cast("int") if "metadata" in nodes.columns else F.lit(None).cast("int")
     signature = F.concat_ws("|", F.floor(F.coalesce(params, F.lit(0)) / 2).cast("string"), F.when(F.col("complexity") == "complex", "2").when(F.col("complexity") == "moderate", "1").otherwise("0"))
     f = nodes.where("node_type = 'function'").select("project", F.col("id").alias("target"), signature.alias("sig"))
     calls = edges.where("edge_type = 'calls'").select("project", "source", "target").distinct().join(f, ["project", "target"])
-    a, b = calls.select("project", "source", "sig", F.col("target").alias("a")), calls.select("project", "source", "sig", F.col("target").alias("b"))
-    pairs = a.join(b, ["project", "source", "sig"]).where("a < b").groupBy("project", "sig", "a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= shared)
+    pairs = overlapping(calls.select("project", "sig", F.col("target").alias("id"), F.col("source").alias("item")), ["project", "sig"], F.lit(shared)).where(F.col("k") >= shared)
     sizes = f.groupBy("project", "sig").agg(F.count(F.lit(1)).alias("size"))
     both = pairs.select("project", "sig", F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select("project", "sig", F.col("b").alias("id"), F.col("a").alias("other")))
     grouped = both.groupBy("project", "sig", "id").agg(F.array_sort(F.collect_set("other")).alias("others")).join(sizes, ["project", "sig"])
@@ -74,13 +90,11 @@ def duplicate_logic(nodes: DataFrame, edges: DataFrame, shared: int = 2) -> Data
 
 def unclear_coupling(nodes: DataFrame, edges: DataFrame, imports: int = model.COUPLING_IMPORTS, share: float = model.COUPLING_SHARE) -> DataFrame:
     """Pairs of files or modules with more than ``imports`` import targets each that share more than ``share`` of the
-    larger set and no edge of their own. Pairs meet on the shared target; targets imported by nearly all are
-    exact like any other, and spread by (project, target)."""
+    larger set and no edge of their own. Pairs meet by overlapping(), so a target imported by nearly all makes no pairs."""
     kinds = nodes.where(F.col("node_type").isin("file", "module")).select(*KEY)
     t = graph.duplicate_targets(edges, ("imports",), imports).join(kinds, KEY, "left_semi")
-    a = t.select("project", "target", F.col("id").alias("a"), F.col("n").alias("na"))
-    b = t.select("project", "target", F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, ["project", "target"]).where("a < b").groupBy("project", "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") / F.greatest("na", "nb") > share)
+    sets = t.select("project", "id", F.col("target").alias("item"))
+    pairs = overlapping(sets, ["project"], F.floor(F.col("n") * F.lit(share)) + 1).where(F.col("k") / F.greatest("na", "nb") > share)
     direct = edges.select("project", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
     apart = pairs.join(direct, ["project", "a", "b"], "left_anti")
     return _warning(apart.withColumnRenamed("a", "id"), "unclear_coupling", "medium", f"shared_imports > {share}", F.array("b"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, hot_keys, salted_join
 from .graph import of_types
 
 KEY = ["project", "id"]
@@ -26,19 +26,26 @@ def _directed(edges: DataFrame, direction: str, types: tuple[str, ...] | None) -
     return chosen.where(F.col("from") != F.col("to"))
 
 
+def _ahead(step: DataFrame, frontier: DataFrame, hot: list[tuple]) -> DataFrame:
+    """The steps that go on from the frontier, one row of which meets all steps of its node."""
+    at = frontier.withColumnRenamed("id", "from")
+    return salted_join(step, at, ["project", "from"], "inner", "to", hot=hot) if hot else at.join(step, ["project", "from"])
+
+
 def levels(edges: DataFrame, seeds: DataFrame, direction: str = "out", types: tuple[str, ...] | None = None, max_depth: int | None = None, with_path: bool = False) -> DataFrame:
     """project, id, depth (and path) of every node reached from any seed (project, id); seeds have depth 0.
 
     with_path keeps one shortest path from a seed as ids joined by ' > '; among paths of one length the smallest."""
     step = _directed(edges, direction, types).groupBy("project", "from", "to").agg(F.min("edge_type").alias("edge_type")) if with_path else _directed(edges, direction, types).select("project", "from", "to").distinct()
     step = cut(step)
+    hot = hot_keys(step, ["project", "from"])  # hubs, spread in every round
     start = seeds.select(*KEY).distinct().withColumn("depth", F.lit(0))
     frontier = cut(start.withColumn("path", F.col("id")) if with_path else start)
     seen = frontier
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        reached = frontier.withColumnRenamed("id", "from").join(step, ["project", "from"])
+        reached = _ahead(step, frontier, hot)
         if with_path:
             new = reached.groupBy("project", F.col("to").alias("id")).agg(F.min(F.concat_ws(" > ", "path", "to")).alias("path")).withColumn("depth", F.lit(depth))
             new = new.select("project", "id", "depth", "path")
@@ -108,13 +115,16 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, types: tuple[str, ...] | No
     blast_radius_approx() stays linear in the edges each round."""
     step = cut(of_types(edges, types).select("project", F.col("source").alias("up"), F.col("target").alias("down")).distinct())
     frontier = cut(step.select("project", "up", F.col("down").alias("id")))
-    seen = frontier
+    seen, rounds = frontier, 0
     while True:
+        rounds += 1
         ahead = frontier.withColumnRenamed("up", "mid").join(step.select("project", "up", F.col("down").alias("mid")), ["project", "mid"]).select("project", "up", "id").distinct()
         frontier = cut(ahead.join(seen, ["project", "up", "id"], "left_anti"))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if rounds % 8 == 0:
+            seen = cut(seen)
     return _shares(nodes, seen.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_dependents")))
 
 
@@ -188,13 +198,13 @@ def topological_levels(edges: DataFrame, types: tuple[str, ...] = ("calls", "imp
 
 def tours(nodes: DataFrame, edges: DataFrame, starts: DataFrame, steps: int = 10, walk: int = 12) -> DataFrame:
     """project, pos, id: for each project a walk over files from its best start (project, id, rank), breadth first by
-    imports, at most ``walk`` files seen and ``steps`` kept; projects whose walk has one file give none. pos is
+    imports, of the first ``walk`` files seen ``steps`` kept; projects whose walk has one file give none. pos is
     by depth, then id."""
     files = nodes.where("node_type = 'file'").select(*KEY)
     e = of_types(edges, ("imports",)).join(files.withColumnRenamed("id", "target"), ["project", "target"], "left_semi").select("project", "source", "target", "edge_type")
     first = starts.join(files, KEY, "left_semi").groupBy("project").agg(F.min_by("id", F.struct("rank", "id")).alias("id"))
-    seen = levels(e, first, "out", max_depth=walk)
+    seen = levels(e, first, "out", max_depth=walk - 1)  # a walk of so many files goes no deeper
     w = Window.partitionBy("project").orderBy("depth", "id")
-    ranked = seen.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= steps)
+    ranked = seen.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= min(steps, walk))
     size = ranked.groupBy("project").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2")
     return ranked.join(size, "project").select("project", "pos", "id", "depth")

@@ -76,17 +76,17 @@ def analyse(nodes: DataFrame, edges: DataFrame, commits: DataFrame | None = None
 
     def attempt(name: str, make):
         try:
-            out.tables[name] = make()
+            out.tables[name] = cut(make())  # a pass that fails fails here
         except Exception as e:  # noqa: BLE001 - a failed pass is skipped, the others go on
             out.problems[name] = str(e)[:500]
 
     attempt("layers", lambda: smells.path_layers(out.nodes))
-    attempt("domains", lambda: cut(domains(out.nodes, out.edges)))
+    attempt("domains", lambda: domains(out.nodes, out.edges))
     if "domains" in out.tables:
         of_folders = out.tables["domains"].select(*KEY, "domain")
         domain_of = of_folders if domain_of is None else of_folders.unionByName(domain_of.select(*KEY, "domain")).distinct()
     if files is not None:
-        attempt("security", lambda: cut(security(out.nodes, files)))
+        attempt("security", lambda: security(out.nodes, files))
     changes = empty_changes
     if commits is not None:
         timed = history.commit_times(commits)
@@ -95,9 +95,9 @@ def analyse(nodes: DataFrame, edges: DataFrame, commits: DataFrame | None = None
             attempt("decision_context", lambda: history.decision_context(timed, now))
             recent = lambda days: F.count_if(F.col("at") >= F.lit(now) - F.expr(f"INTERVAL {days} DAYS")).cast("int")
             changes = timed.groupBy("project", F.concat(F.lit("file:"), F.col("file")).alias("id")).agg(recent(90).alias("change_frequency"), recent(14).alias("recent_commits"), F.countDistinct(F.when(F.col("author") != "", F.col("author"))).cast("int").alias("n_authors"))
-    attempt("cycles", lambda: cut(traversal.simple_cycles(out.edges)))
-    attempt("smells", lambda: cut(smells.all_smells(out.nodes, out.edges, changes, domain_of)))
-    attempt("blast", lambda: cut(traversal.blast_radius(out.nodes, out.edges)))
+    attempt("cycles", lambda: traversal.simple_cycles(out.edges))
+    attempt("smells", lambda: smells.all_smells(out.nodes, out.edges, changes, domain_of))
+    attempt("blast", lambda: traversal.blast_radius(out.nodes, out.edges))
     if "blast" in out.tables:
         circular = out.tables["cycles"].select("project", F.explode("cycle").alias("id")).distinct() if "cycles" in out.tables else None
         attempt("risk", lambda: risk.risk_scores(out.nodes, out.edges, out.tables["blast"], changes, None, circular))

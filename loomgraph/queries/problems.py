@@ -14,15 +14,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return shredded.select("record_id", "kind", "path", "child_id")
 
 
-def p1_commits(spark: SparkSession, d: str) -> DataFrame:
-    """The flat table of commits with its link to the node."""
-    shredded = nested.shred(table(spark, d, "raw_graphs"))
-    return nested.flat_table(shredded, "commit", nested.TABLES["commit"])
+def _flat(kind: str, name: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return nested.flat_table(nested.shred(table(spark, d, "raw_graphs")), kind, nested.TABLES[kind])
 
+    query.__name__ = name
+    query.__doc__ = f"The flat table of kind {kind} with the link to its parent."
+    return query
 
-def p1_steps(spark: SparkSession, d: str) -> DataFrame:
-    shredded = nested.shred(table(spark, d, "raw_graphs"))
-    return nested.flat_table(shredded, "step", nested.TABLES["step"])
+
+FLAT = [_flat(k, f"p1_{n}") for k, n in (("commit", "commits"), ("step", "steps"), ("node", "nodes"), ("author", "authors"), ("warning", "warnings"), ("related", "related"), ("domain", "domains"), ("flow", "flows"), ("step_node", "step_nodes"))]
 
 
 def p1_table_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +53,7 @@ def p6_warnings(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified(table(spark, d, "assembly_files"), "warning")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_commits, p1_steps, p1_table_counts, p5_found, p5_counts, p6_found, p6_stops, p6_warnings)}
+QUERIES = {f.__name__: f for f in (p1_found, *FLAT, p1_table_counts, p5_found, p5_counts, p6_found, p6_stops, p6_warnings)}
 
 _P5 = r"""
 WITH n AS (

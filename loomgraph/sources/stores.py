@@ -117,21 +117,22 @@ def respond(spark: SparkSession, path: str, response: str, question: str | None
     return df
 
 
-def git_log(spark: SparkSession, path: str, project: str) -> DataFrame:
-    """Lines 'sha|author|date|subject' (the subject may hold bars) as commits with a seven-letter sha."""
+def git_log(spark: SparkSession, path: str, project: str, file: str | None = None) -> DataFrame:
+    """Lines 'sha|author|date|subject' (the subject may hold bars) as commits with a seven-letter sha; ``file`` is the file
+    whose log it is."""
     parts = F.split("value", r"\|", 4)
-    return spark.read.text(path).where(F.size(parts) >= 4).select(F.lit(project).alias("project"), F.substring(parts[0], 1, 7).alias("sha"), parts[1].alias("author"), parts[2].alias("commit_date"), parts[3].alias("message"))
+    return spark.read.text(path).where(F.size(parts) >= 4).select(F.lit(project).alias("project"), F.lit(file).alias("file"), F.substring(parts[0], 1, 7).alias("sha"), parts[1].alias("author"), parts[2].alias("commit_date"), parts[3].alias("message"))
 
 
-def git_log_with_diffs(spark: SparkSession, path: str, project: str) -> DataFrame:
-    """Blocks that begin with COMMIT_START|sha|author|date|subject as commits with body and diff."""
+def git_log_with_diffs(spark: SparkSession, path: str, project: str, file: str | None = None) -> DataFrame:
+    """Blocks that begin with COMMIT_START|sha|author|date|subject as commits with body and diff; file as in git_log()."""
     raw = spark.read.option("lineSep", "COMMIT_START|").text(path).where(F.trim("value") != "")
     head = F.split(F.substring_index("value", "\n", 1), r"\|", 4)
     rest = F.regexp_extract("value", r"(?s)^[^\n]*\n?(.*)$", 1)
     cut_at = F.locate("\ndiff --git", F.concat(F.lit("\n"), rest))
     body = F.when(cut_at > 0, F.substring(rest, F.lit(1), cut_at - 1)).otherwise(rest)
     diff = F.when(cut_at > 0, F.substring(rest, cut_at, F.length(rest))).otherwise("")
-    return raw.select(F.lit(project).alias("project"), F.substring(head[0], 1, 7).alias("sha"), head[1].alias("author"), head[2].alias("commit_date"), head[3].alias("message"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"), diff.alias("diff"))
+    return raw.select(F.lit(project).alias("project"), F.lit(file).alias("file"), F.substring(head[0], 1, 7).alias("sha"), head[1].alias("author"), head[2].alias("commit_date"), head[3].alias("message"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"), diff.alias("diff"))
 
 
 def is_stale(head: str | None, analysed: str | None) -> bool:

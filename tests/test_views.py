@@ -71,3 +71,42 @@ def test_planted_smells(spark):
     spread = edges(spark, [("big", f"m{k}") for k in range(6)], "contains")
     domain = spark.createDataFrame([("p", f"m{k}", f"dom{k % 3}") for k in range(6)], "project string, id string, domain string")
     assert [r.node_id for r in smells.low_cohesion(spread, domain).collect()] == ["big"]
+
+
+def test_closings_against_a_scan():
+    import random
+
+    def scan(text, start):
+        depth, opened = 0, False
+        for i, line in enumerate(text.split("\n")[start - 1 :], start):
+            for c in line:
+                depth += (c == "{") - (c == "}")
+                opened |= c == "{"
+                if c == "}" and opened and depth == 0:
+                    return i
+        return None
+
+    r = random.Random(1)
+    for _ in range(500):
+        text = "".join(r.choice("{}a\n") for _ in range(r.randrange(40)))
+        n, ends = extract.closings(text)
+        assert n == text.count("\n") + 1 and [ends(k) for k in range(1, n + 1)] == [scan(text, k) for k in range(1, n + 1)]
+
+
+def test_overlaps_against_all_pairs(spark):
+    """Prefixes lose no pair, though one item is held by all."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(2)
+    sets = {i: {"all", *(f"t{r.randrange(30)}" for _ in range(r.randrange(3, 12)))} for i in range(60)}
+    df = spark.createDataFrame([("p", f"n{i:02d}", t) for i, s in sets.items() for t in s], "project string, id string, item string")
+    got = {(r.a, r.b): r.k for r in smells.overlapping(df, ["project"], F.floor(F.col("n") * F.lit(0.4)) + 1).where("k / greatest(na, nb) > 0.4").collect()}
+    want = {(f"n{a:02d}", f"n{b:02d}"): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) > 0.4 * max(len(sets[a]), len(sets[b])) + 1e-9}
+    assert got == want and want
+
+
+def test_lessons_have_confidence(spark):
+    df = spark.createDataFrame([("p", "a.ts", "typescript", "await a\nawait b\n"), ("p", "b.ts", "typescript", "await a\n" * 4), ("p", "c.py", "python", "x = 1")], "project string, path string, lang_name string, content string")
+    assert {(r.path, r.lesson, r.confidence) for r in extract.language_lessons(df).collect()} == {("a.ts", "async_await", "medium"), ("b.ts", "async_await", "high")}
