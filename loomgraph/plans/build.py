@@ -113,9 +113,10 @@ def security(nodes: DataFrame, files: DataFrame) -> DataFrame:
     return extract.security_findings(scanned, "at").select("at.*", "rule", "category", "severity", "line", "snippet", "pattern", "description")
 
 
-def domains(nodes: DataFrame, edges: DataFrame, most: int = 8, least_files: int = 2, steps: int = 8) -> DataFrame:
+def domains(nodes: DataFrame, edges: DataFrame, most: int = 8, least_files: int = 2, steps: int = 8, flat: int = 6) -> DataFrame:
     """project, domain, n_files, step_no, id, weight: folders of the second path step with two files or more, the ``most``
-    largest of each project; each has one flow of its files in dependency order, evenly weighted from 0 to 1."""
+    largest of each project; each has one flow of its files in dependency order, evenly weighted from 0 to 1. With fewer than two links inside
+    it is one of the first ``flat`` files by id, weighted by their place among all."""
     from pyspark.sql import Window
 
     parts = F.split(F.col("file"), "/")
@@ -125,10 +126,13 @@ def domains(nodes: DataFrame, edges: DataFrame, most: int = 8, least_files: int
     member = files.join(top, ["project", "domain"])
     place = member.select("project", F.col("id"), "domain")
     inner = edges.join(place.withColumnsRenamed({"id": "source", "domain": "d1"}), ["project", "source"]).join(place.withColumnsRenamed({"id": "target", "domain": "d2"}), ["project", "target"]).where("d1 = d2").select("project", "source", "target", "edge_type")
+    inner = cut(inner.where(F.col("edge_type").isin("calls", "imports", "depends_on")))
+    linked = inner.join(place.withColumnRenamed("id", "source"), ["project", "source"]).groupBy("project", "domain").agg(F.count(F.lit(1)).alias("_links"))
+    member = member.join(linked, ["project", "domain"], "left").withColumn("_flat", F.coalesce("_links", F.lit(0)) < 2)
     level = traversal.topological_levels(inner)
-    w = Window.partitionBy("project", "domain").orderBy(F.coalesce("level", F.lit(0)), "id")
-    ranked = member.join(level, KEY, "left").withColumn("step_no", F.row_number().over(w)).where(F.col("step_no") <= steps)
-    last = F.least(F.col("n_files"), F.lit(steps)) - 1
+    w = Window.partitionBy("project", "domain").orderBy(F.when(F.col("_flat"), 0).otherwise(F.coalesce("level", F.lit(0))), "id")
+    ranked = member.join(level, KEY, "left").withColumn("step_no", F.row_number().over(w)).where(F.col("step_no") <= F.when(F.col("_flat"), flat).otherwise(steps))
+    last = F.when(F.col("_flat"), F.col("n_files")).otherwise(F.least(F.col("n_files"), F.lit(steps))) - 1
     return ranked.select("project", "domain", "n_files", "step_no", "id", F.round((F.col("step_no") - 1) / F.greatest(last, F.lit(1)), 6).alias("weight"))
 
 

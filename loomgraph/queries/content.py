@@ -62,6 +62,14 @@ def import_edges(spark, d):
     return extract.import_edges(extract.import_targets(extract.imports(files), files))
 
 
+@query()
+def skeleton_edges(spark, d):
+    """The build from text alone: contains, imports and calls edges of all source files."""
+    from ..plans.build import skeleton
+
+    return skeleton(sources(spark, d))[1].select("project", "source", "target", "edge_type", "weight")
+
+
 @query()
 def source_symbols(spark, d):
     files = sources(spark, d)

@@ -64,16 +64,54 @@ class GraphLoader:
 
 
 def save(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Replace a stored table as a whole; readers see the old or the new one."""
-    w = df.write.mode("overwrite")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    """Replace a stored table as a whole. Each save is a folder of its own, and the file CURRENT, which names the one that
+    counts, is replaced by a rename: readers (saved()) see the old or the new table, and a table may be saved from itself.
+    The version before the last stays for readers that have begun; older ones are removed."""
+    spark, version = df.sparkSession, f"version-{uuid.uuid4().hex}"
+    w = df.write.mode("errorifexists")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{path}/{version}")
+    fs, at, jvm = *_file_system(spark, path), spark._jvm
+    before = _current(spark, path)
+    fresh, current = jvm.org.apache.hadoop.fs.Path(at, f".{version}"), jvm.org.apache.hadoop.fs.Path(at, "CURRENT")
+    out = fs.create(fresh, True)
+    out.writeBytes(version)
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()).rename(fresh, current, over)
+    for status in fs.listStatus(at):
+        name = status.getPath().getName()
+        if name.startswith("version-") and name not in (version, before):
+            fs.delete(status.getPath(), True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    fs, at = _file_system(spark, path)
+    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(at, "CURRENT")):
+        return None
+    rows = spark.read.text(f"{path}/CURRENT").head(1)
+    return rows[0][0] if rows else None
+
+
+def saved(spark: SparkSession, path: str) -> DataFrame:
+    """The table last saved under the path."""
+    version = _current(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"nothing was saved under {path}")
+    return spark.read.parquet(f"{path}/{version}")
 
 
 def save_stage(df: DataFrame, folder: str, stage: str) -> DataFrame:
     """Write the result of a stage and go on from the written table."""
     path = f"{folder.rstrip('/')}/{stage}"
     save(df, path)
-    return df.sparkSession.read.parquet(path)
+    return saved(df.sparkSession, path)
 
 
 def append_history(snapshot: DataFrame, path: str, kept: int = model.HISTORY_KEPT) -> DataFrame:

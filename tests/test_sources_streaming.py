@@ -2,6 +2,8 @@ import json
 import os
 from datetime import datetime as dt
 
+import pytest
+
 from loomgraph.sources import files as tree
 from loomgraph.sources import render, stores
 from loomgraph.streaming import changes
@@ -114,3 +116,28 @@ def test_patch_equals_rebuild(spark):
     assert sorted(r.id for r in after.collect()) == ["a", "a2", "b"]
     assert sorted((r.source, r.target) for r in live.collect()) == [("a", "a2"), ("b", "a")]
     assert [r.id for r in changes.importers(e, v.where("id = 'a'")).collect()] == ["b"]
+
+
+def test_saved_tables_are_replaced_whole(spark, tmp_path):
+    from loomgraph.sources import stores
+
+    path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        stores.saved(spark, path)
+    stores.save(spark.range(3).toDF("n"), path)
+    old = stores.saved(spark, path)
+    stores.save(old.selectExpr("n + 10 AS n"), path)  # from itself
+    assert sorted(r.n for r in stores.saved(spark, path).collect()) == [10, 11, 12]
+    assert sorted(r.n for r in old.collect()) == [0, 1, 2]  # a reader that had begun goes on
+    stores.save(spark.range(1).toDF("n"), path)
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("version-")]) == 2
+
+
+def test_reports_say_what_they_leave_out(spark):
+    from loomgraph.sources import render
+
+    nodes = spark.createDataFrame([("p", f"n{i}", "file", 0.9) for i in range(5)], "project string, id string, node_type string, risk_score double")
+    edges = spark.createDataFrame([], "project string, source string, target string, edge_type string")
+    layers = nodes.selectExpr("project", "id", "'ui' AS layer")
+    text = render.markdown_report(nodes, edges, layers, "p", rows=3)
+    assert "5 nodes, 0 edges" in text and "- and 2 more" in text and "more" not in render.markdown_report(nodes, edges, layers, "p")
