@@ -75,9 +75,10 @@ class Shingler:
         if n <= 0:
             return np.empty(0, dtype=np.uint64)
         out = np.zeros(n, dtype=np.uint64)
-        for k in range(self.width):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + values[k : k + n])
-        return out
+        for k in range(self.width):  # Horner's rule, so the order of the tokens counts
+            out *= np.uint64(0x9E3779B97F4A7C15)
+            out += values[k : k + n]
+        return _mix(out)
 
     def hashed(self, tokens: list[str]) -> np.ndarray:
         return np.unique(self.runs(tokens))
@@ -99,10 +100,8 @@ def minima_of(hashed: np.ndarray, starts: np.ndarray, family: tuple[np.ndarray,
     words = (hashed >> np.uint64(32)).astype(np.uint32)
     low = np.full((len(starts), HASHES), 0xFFFFFFFF, dtype=np.uint32)
     for i in range(0, len(words), 2048):
-        x = words[i : i + 2048, None] ^ b
+        x = words[i : i + 2048, None] ^ b  # the values are well mixed already, so one product orders them anew
         x *= a
-        x ^= x >> np.uint32(16)
-        x *= np.uint32(0x7FEB352D)
         first = int(np.searchsorted(starts, i, side="right")) - 1
         last = int(np.searchsorted(starts, i + len(x), side="left"))
         found = np.minimum.reduceat(x, np.maximum(starts[first:last] - i, 0), axis=0)
