@@ -9,7 +9,8 @@ that have come to one root are one person: their posteriors are summed, and ever
 of the largest sum, or stays on its own. This is repeated until no spelling changes its root.
 
 Pet forms come from a short general list and from the data: two given names that stand with the same family names far
-more often than chance are forms of one name (learned()).
+more often than chance are forms of one name (learned_pairs()). All of them are used; each spelling is joined with those
+of its own given names.
 
 Work is on distinct spellings, counted map-side. Hashed keys of all of them are shuffled once, a spelling that offers
 and seeks under one key as one row, and met in a sorted stream in bounded steps; pairs are scored once. The roots are
@@ -28,20 +29,24 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import ChainMap
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, salted_join
 
 LONG = 24
-#: Learning of pet forms: families of 2 to LEARN_GIVEN given names count, a pair must stand with LEARN_LEAST family names, a
-#: share LEARN_SHARE of the rarer name's and LEARN_SIGMAS deviations above what chance gives; at most LEARN_PAIRS pairs are kept.
-LEARN_GIVEN, LEARN_LEAST, LEARN_SHARE, LEARN_SIGMAS, LEARN_PAIRS = 8, 3, 0.2, 4.0, 5_000
+#: Learned pet forms of one spelling.
+PETS = "array<struct<short:string,full:array<string>>>"
+#: Learning of pet forms: every family of two given names or more counts, one of up to LEARN_GIVEN as 1 and a larger one as
+#: LEARN_GIVEN / its size; a pair must share a weight of LEARN_LEAST and a share LEARN_SHARE of the rarer name's, and be
+#: LEARN_SIGMAS deviations above what chance gives.
+LEARN_GIVEN, LEARN_LEAST, LEARN_SHARE, LEARN_SIGMAS = 8, 3, 0.2, 4.0
 #: Short and pet forms of given names, folded.
 NICKNAMES = """
 abigail abby gail|agnes agi aggie|albert al bert bertie|alexander alex sasha sascha lex xander sandro sandy|alfred alf alfie fred|alice ali ally|amanda mandy|anastasia ana nastya stacy nastia tasia|andrew andy drew
@@ -328,44 +333,93 @@ def _families(batches):
             yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
 
+def _unexplained(batches):
+    """Pairs (short, full) that the general list, typos and shortening don't explain."""
+    for b in batches:
+        keep = [_given(x, y, FULL_FORMS) == math.inf for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
+def learned_pairs(names: DataFrame) -> DataFrame:
+    """(short, full): the given names that share family names beyond chance and that nothing else explains.
+
+    A family of k given names holds another one, used q of all times, with the chance 1 - (1 - q)^k. The weight that two
+    names share is compared with the sum of these chances over the families of the one and over those of the other. A
+    pair must share a weight of LEARN_LEAST and LEARN_SHARE of the rarer name's, so the rarer name's largest families with
+    less than that together make no candidates (prefix filtering, exact), and names of less weight none at all."""
+    each = cut(names.select("project", "name").mapInArrow(_families, "project string, family string, given string").distinct())
+    # names read in both orders count once
+    total = each.select("project", F.least("family", "given").alias("x"), F.greatest("family", "given").alias("y")).distinct().count()
+    sizes = each.groupBy("project", "family").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    weight = F.least(F.lit(1.0), F.lit(float(LEARN_GIVEN)) / F.col("k")).cast("decimal(18,12)")  # exact sums, whatever their order
+    held = each.join(sizes, ["project", "family"]).select("project", "family", "given", "k", weight.alias("w"))
+    used = each.groupBy("given").agg((F.count(F.lit(1)) / F.lit(float(max(1, total)))).alias("q"))
+    classes = held.groupBy("given", "k", "w").agg(F.count(F.lit(1)).alias("c"), F.sum("w").alias("cw"))
+    need = F.greatest(F.lit(LEARN_LEAST).cast("double"), LEARN_SHARE * F.col("all").cast("double")).cast("decimal(30,12)")
+    strong = classes.groupBy("given").agg(F.sum("cw").cast("decimal(30,12)").alias("all")).where(F.col("all") >= LEARN_LEAST)
+    strong = cut(strong.withColumn("need", need).join(used, "given"))
+    classes = cut(classes.join(strong.select("given", "need"), "given"))
+    held = cut(held.join(strong.select("given", "all"), "given"))
+    larger = Window.partitionBy("given").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    prefix = classes.withColumn("so_far", F.sum("cw").over(larger)).where("so_far >= need").select("given", "k")
+    a = held.join(prefix, ["given", "k"]).select("project", "family", F.col("given").alias("a"), F.col("all").alias("wa"))
+    b = held.select("project", "family", F.col("given").alias("b"), F.col("all").alias("wb"))
+    met = a.join(b, ["project", "family"]).where("wa < wb OR wa = wb AND a < b").select("a", "b").distinct()
+    shared = met.join(held.select("project", "family", F.col("given").alias("a"), "w"), "a").join(b.drop("wb"), ["project", "family", "b"])
+    shared = shared.groupBy("a", "b").agg(F.sum("w").alias("both")).join(strong.select(F.col("given").alias("a"), "need"), "a").where("both >= need")
+    p = F.lit(1.0) - F.pow(F.lit(1.0) - F.least("q", F.lit(1.0)), F.col("k"))
+    terms = [(F.col("c") * F.pow(F.col("w").cast("double"), F.lit(n)) * p).cast("decimal(30,15)").alias(name) for n, name in ((1, "chance"), (2, "spread"))]
+    for own, other in ("ab", "ba"):
+        each = shared.join(strong.select(F.col("given").alias(other), "q"), other).join(classes.select(F.col("given").alias(own), "k", "w", "c"), own)
+        tested = each.select("a", "b", "both", *terms).groupBy("a", "b", "both").agg(*(F.sum(n).cast("double").alias(n) for n in ("chance", "spread")))
+        shared = tested.where(F.col("both").cast("double") >= F.col("chance") + LEARN_SIGMAS * F.sqrt("spread")).select("a", "b", "both")
+    ends = F.array_sort(F.array(*(F.struct(F.length(c).alias("n"), F.col(c).alias("x")) for c in "ab")))
+    return shared.select(ends[0]["x"].alias("short"), ends[1]["x"].alias("full")).mapInArrow(_unexplained, "short string, full string")
+
+
 def learned(names: DataFrame) -> dict[str, set[str]]:
-    """{pet form: {full forms}} of the general list and of the given names that share family names beyond chance. The
-    table brought back has at most LEARN_PAIRS rows."""
-    each = names.select("project", "name").mapInArrow(_families, "project string, family string, given string").distinct()
-    sizes = each.groupBy("project", "family").agg(F.count(F.lit(1)).alias("k")).where(F.col("k").between(2, LEARN_GIVEN))
-    held = cut(each.join(sizes.select("project", "family"), ["project", "family"]))
-    groups = max(1, sizes.count())
-    alone = held.groupBy("given").agg(F.count(F.lit(1)).alias("n"))
-    a, b = held.withColumnRenamed("given", "a"), held.withColumnRenamed("given", "b")
-    both = a.join(b, ["project", "family"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= LEARN_LEAST)
-    scored = both.join(alone.select(F.col("given").alias("a"), F.col("n").alias("na")), "a").join(alone.select(F.col("given").alias("b"), F.col("n").alias("nb")), "b")
-    chance = F.col("na") * F.col("nb") / F.lit(float(groups))
-    kept = scored.where((F.col("both") >= LEARN_SHARE * F.least("na", "nb")) & (F.col("both") >= chance + LEARN_SIGMAS * F.sqrt(chance)))
+    """{pet form: {full forms}} of the general list and of learned_pairs(), to look at: all of them come to the driver.
+    attach() joins them instead."""
     pets = {k: set(v) for k, v in FULL_FORMS.items()}
-    for r in kept.orderBy(F.desc("both"), "a", "b").limit(LEARN_PAIRS).collect():
-        short, full = sorted((r["a"], r["b"]), key=lambda x: (len(x), x))
-        if _given(short, full, FULL_FORMS) == math.inf:
-            pets.setdefault(short, set()).add(full)
+    for r in learned_pairs(names).collect():
+        pets.setdefault(r["short"], set()).add(r["full"])
     return pets
 
 
-def _emit(held):
-    """id, project, name -> key, and twice-shifted id with bit 1 where it offers and bit 2 where it seeks."""
+def _givens(batches):
+    """id, name -> id, short: what may be a person's given name in a spelling."""
+    for b in batches:
+        out = [(i, g) for i, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if not read(name)[0] for g in {g for g, _ in read(name)[2] if len(g) > 1}]
+        yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())], names=["id", "short"])
+
+
+def with_pets(names: DataFrame) -> DataFrame:
+    """names with pets: the learned forms of the given names of each spelling, null without any."""
+    forms = cut(learned_pairs(names).groupBy("short").agg(F.array_sort(F.collect_set("full")).alias("full")))
+    if forms.isEmpty():
+        return names.withColumn("pets", F.lit(None).cast(PETS))
+    found = salted_join(names.select("id", "name").mapInArrow(_givens, "id long, short string"), forms, ["short"], "inner", "id")
+    return cut(names.join(found.groupBy("id").agg(F.collect_list(F.struct("short", "full")).alias("pets")), "id", "left"))
 
-    def run(batches):
-        pets = held.value
-        for b in batches:
-            found: list[int] = []
-            refs: list[int] = []
-            for i, project, name in zip(*(b.column(k).to_pylist() for k in range(3))):
-                offers, seeks = keys(name, pets)
-                scope = xxhash.xxh3_64_intdigest(project)
-                for k in offers | seeks:
-                    found.append(xxhash.xxh3_64_intdigest(k, scope) >> 1)
-                    refs.append(i << 2 | (k in offers) | (k in seeks) << 1)
-            yield pa.record_batch([pa.array(found, pa.int64()), pa.array(refs, pa.int64())], names=["key", "ref"])
 
-    return run
+def _pets(*own):
+    """The general list with the learned forms of some spellings."""
+    learnt = {f["short"]: FULL_FORMS.get(f["short"], set()) | set(f["full"]) for pets in own for f in pets or ()}
+    return ChainMap(learnt, FULL_FORMS) if learnt else FULL_FORMS
+
+
+def _emit(batches):
+    """id, project, name, pets -> key, and twice-shifted id with bit 1 where it offers and bit 2 where it seeks."""
+    for b in batches:
+        found: list[int] = []
+        refs: list[int] = []
+        for i, project, name, own in zip(*(b.column(k).to_pylist() for k in range(4))):
+            offers, seeks = keys(name, _pets(own))
+            scope = xxhash.xxh3_64_intdigest(project)
+            for k in offers | seeks:
+                found.append(xxhash.xxh3_64_intdigest(k, scope) >> 1)
+                refs.append(i << 2 | (k in offers) | (k in seeks) << 1)
+        yield pa.record_batch([pa.array(found, pa.int64()), pa.array(refs, pa.int64())], names=["key", "ref"])
 
 
 def _meet(batches):
@@ -399,38 +453,33 @@ def _meet(batches):
         yield from within(keys, refs)
 
 
-def _score(held):
+def _score(batches):
     schema = pa.schema([("project", pa.string()), ("name", pa.string()), ("candidate", pa.string()), ("n", pa.int64()), ("cost", pa.float64())])
-
-    def run(batches):
-        pets = held.value
-        for b in batches:
-            out = []
-            for project, x, nx, y, ny, ways in zip(*(b.column(i).to_pylist() for i in range(6))):
-                for way, seen, ns, meant, nm in ((1, y, ny, x, nx), (2, x, nx, y, ny)):
-                    # a candidate ranks above what is attached to it: full forms first, then by frequency, then by code point
-                    if ways & way and (not read(seen)[1] or nm > ns or nm == ns and meant < seen):
-                        cost = channel_cost(seen, meant, pets)
-                        if cost <= MAX_COST:
-                            out.append((project, seen, meant, nm, cost))
-            if out:
-                yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
-
-    return run
+    for b in batches:
+        out = []
+        for project, x, nx, px, y, ny, py, ways in zip(*(b.column(i).to_pylist() for i in range(8))):
+            pets = _pets(px, py)
+            for way, seen, ns, meant, nm in ((1, y, ny, x, nx), (2, x, nx, y, ny)):
+                # a candidate ranks above what is attached to it: full forms first, then by frequency, then by code point
+                if ways & way and (not read(seen)[1] or nm > ns or nm == ns and meant < seen):
+                    cost = channel_cost(seen, meant, pets)
+                    if cost <= MAX_COST:
+                        out.append((project, seen, meant, nm, cost))
+        if out:
+            yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
 
 def attach(names: DataFrame) -> DataFrame:
     """(project, name, n, canonical): each spelling with the root it belongs to."""
-    names = cut(names.select(F.monotonically_increasing_id().alias("id"), "project", "name", F.col("n").cast("long").alias("n")))
-    held = names.sparkSession.sparkContext.broadcast(learned(names))  # bounded, see learned()
-    keyed = names.select("id", "project", "name").mapInArrow(_emit(held), "key long, ref long")
+    names = with_pets(cut(names.select(F.monotonically_increasing_id().alias("id"), "project", "name", F.col("n").cast("long").alias("n"))))
+    keyed = names.select("id", "project", "name", "pets").mapInArrow(_emit, "key long, ref long")
     met = keyed.repartition("key").sortWithinPartitions("key", "ref").mapInArrow(_meet, "a long, b long, ways int")
     met = met.groupBy("a", "b").agg(F.bit_or("ways").alias("ways"))
-    left = names.select(F.col("id").alias("a"), "project", F.col("name").alias("x"), F.col("n").alias("nx"))
-    right = names.select(F.col("id").alias("b"), F.col("name").alias("y"), F.col("n").alias("ny"))
-    pairs = met.join(left, "a").join(right, "b").select("project", "x", "nx", "y", "ny", "ways")
+    left = names.select(F.col("id").alias("a"), "project", F.col("name").alias("x"), F.col("n").alias("nx"), F.col("pets").alias("px"))
+    right = names.select(F.col("id").alias("b"), F.col("name").alias("y"), F.col("n").alias("ny"), F.col("pets").alias("py"))
+    pairs = met.join(left, "a").join(right, "b").select("project", "x", "nx", "px", "y", "ny", "py", "ways")
     weight = (F.col("n") * F.exp(-F.col("cost"))).cast("decimal(38,18)")  # exact sums, whatever their order
-    scored = cut(pairs.mapInArrow(_score(held), "project string, name string, candidate string, n long, cost double").withColumn("w", weight).drop("cost"))
+    scored = cut(pairs.mapInArrow(_score, "project string, name string, candidate string, n long, cost double").withColumn("w", weight).drop("cost"))
     return names.join(roots(scored), ["project", "name"], "left").select("project", "name", "n", F.coalesce("root", "name").alias("canonical"))
 
 

@@ -119,3 +119,77 @@ def test_keys_cover_the_channel():
         made = " ".join(words)
         if names.channel_cost(made, seen) <= names.MAX_COST:
             assert names.keys(made)[1] & names.keys(seen)[0], (made, seen)
+
+
+def written(spark, pairs):
+    """One project's spellings of (given, family) pairs."""
+    return spark.createDataFrame([("p", f"{g.capitalize()} {f.capitalize()}", 1) for g, f in pairs], "project string, name string, n long")
+
+
+def word(i):
+    """A word of its own for each number; neighbours differ by more than typos."""
+    out, i = "", i * 7919 % 810_000
+    for _ in range(4):
+        i, a = divmod(i, 30)
+        out += "bdfgklmnprstvwz"[a % 15] + "ai"[a // 15] + "x"
+    return out
+
+
+def test_every_learned_pet_form_is_kept(spark):
+    """More pairs than a fixed number, each with three families of its own."""
+    many = 5_200
+    pairs = [(given, f"{word(i)}ha{end}") for i in range(many) for end in ("mo", "ru", "le") for given in (f"qu{word(i)}", f"o{word(i)}zel")]
+    pets = names.learned(written(spark, pairs))
+    assert sum(f"o{word(i)}zel" in pets.get(f"qu{word(i)}", ()) for i in range(many)) == many
+
+
+def test_pet_forms_are_learned_from_large_families_too(spark):
+    """Families of more than LEARN_GIVEN given names count as well, the less the larger they are."""
+    pairs = [(g, f"{word(i)}hamo") for i in range(30) for g in ["quonzel", "mip"] + [f"a{word(100 + 14 * i + j)}" for j in range(14)]]
+    pairs += [(f"e{word(i)}", f"{word(j)}hamo") for j in range(30, 330) for i in (2 * j, 2 * j + 1)]
+    spelled = written(spark, pairs)
+    assert names.learned(spelled)["mip"] == {"quonzel"}
+    spelled = spelled.union(spark.createDataFrame([("p", "Quonzel Osterwall", 3), ("p", "Mip Osterwall", 1), ("p", "Brunt Osterwall", 1)], spelled.schema))
+    got = {r.name: r.canonical for r in names.attach(spelled).collect()}
+    assert got["Mip Osterwall"] == "Quonzel Osterwall" and got["Brunt Osterwall"] == "Brunt Osterwall"
+
+
+def test_common_given_names_that_meet_by_chance_are_not_forms(spark):
+    import random
+
+    r = random.Random(2)
+    pool = [f"a{word(i)}" for i in range(40)]
+    pairs = [(g, f"{word(500 + i)}hamo") for i in range(60) for g in r.sample(pool, 20)]
+    assert names.learned_pairs(written(spark, pairs)).count() == 0
+
+
+def test_learning_by_prefixes_is_exact(spark):
+    """The same pairs as by comparing all given names with each other."""
+    import math
+    import random
+    from collections import defaultdict
+
+    r = random.Random(5)
+    pairs = {(f"a{word(g)}", f"{word(900 + f)}hamo") for f in range(120) for g in r.sample(range(300), r.choice([1, 2, 3, 6, 12, 40]))}
+    for x, y in ((1, 2), (3, 4), (5, 6)):  # forms of one name: most families of either hold both
+        pairs |= {(f"a{word(z)}", f"{word(900 + f)}hamo") for f in r.sample(range(120), 25) for z in (x, y)}
+    both_orders = pairs | {(f, g) for g, f in pairs}
+    families, of = defaultdict(set), defaultdict(set)
+    for g, f in both_orders:
+        families[f].add(g)
+        of[g].add(f)
+    weight = {f: min(1, names.LEARN_GIVEN / len(gs)) for f, gs in families.items() if len(gs) > 1}
+    every = {g: sum(weight.get(f, 0) for f in fs) for g, fs in of.items()}
+    want = set()
+    for a, b in itertools.permutations(of, 2):
+        if (every[a], a) < (every[b], b):
+            both = sum(weight.get(f, 0) for f in of[a] & of[b])
+            limits = []
+            for x, y in ((a, b), (b, a)):
+                p = {f: 1 - (1 - len(of[y]) / len(pairs)) ** len(families[f]) for f in of[x] if f in weight}
+                limits.append(sum(weight[f] * p[f] for f in p) + names.LEARN_SIGMAS * math.sqrt(sum(weight[f] ** 2 * p[f] for f in p)))
+            short, full = sorted((a, b), key=lambda x: (len(x), x))
+            if both >= max(names.LEARN_LEAST, names.LEARN_SHARE * every[a], *limits) and names._given(short, full, names.FULL_FORMS) == math.inf:
+                want.add((short, full))
+    assert len(want) >= 3
+    assert {tuple(x) for x in names.learned_pairs(written(spark, sorted(pairs))).collect()} == want
