@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from ..session import cut, salted_join
+from ..session import HOT_ROWS, cut, hot_keys, salted_join
 from .orphans import canonical_id
 
 KEY = ["project", "id"]
@@ -52,6 +52,25 @@ def flip_tests(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def plain_edges(edges: DataFrame, nodes: DataFrame, types: tuple[str, ...] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """project, source, target, edge_type of the normalised edges of the latest nodes, each row shuffled by its source and
+    by its target once. Only projects of hot_rows edges can have hot ends; the others' are not looked for."""
+    kinds = of_types(edges, types)
+    ends = kinds.select("project", canonical_id("source").alias("source"), canonical_id("target").alias("target"), "edge_type").where("project is not null and source <> '' and target <> ''")
+    large = ends.groupBy("project").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_rows).select("project").collect()
+    hot: dict[str, list] = {"source": [], "target": []}
+    if large:
+        within = ends.join(F.broadcast(edges.sparkSession.createDataFrame(large, "project string")), "project", "left_semi")
+        hot = {end: hot_keys(within, ["project", end], hot_rows) for end in hot}
+    first = (ends if hot["source"] else ends.repartition("project", "source")).distinct()
+    ids = nodes.select("project", F.col("id").alias("source"))
+    there = salted_join(first, ids, ["project", "source"], "left_semi", "target", hot=hot["source"])
+    tests = nodes.select("project", F.col("id").alias("target"), P.is_test_path(F.coalesce("file", "label", F.lit(""))).alias("_test"))
+    joined = salted_join(there, tests, ["project", "target"], "inner", "source", hot=hot["target"])
+    turn = (F.col("edge_type") == "tested_by") & F.coalesce("_test", F.lit(False))
+    return joined.select("project", F.when(turn, F.col("target")).otherwise(F.col("source")).alias("source"), F.when(turn, F.col("source")).otherwise(F.col("target")).alias("target"), "edge_type")
+
+
 def normalize(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Canonical ids, last row of each node, first of each edge, no dangling edges, tests pointing at sources."""
     v = cut(latest_nodes(nodes))

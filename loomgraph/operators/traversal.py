@@ -2,11 +2,16 @@
 
 Every loop joins the frontier with the edges, keeps what is new by an anti join with what was seen, and cuts the
 lineage through the checkpoint folder; it stops when the frontier is empty or a depth bound is reached. Keys are
-(project, id); edges are (project, source, target, edge_type). Nothing is collected but one emptiness bit a round.
+(project, id); edges are (project, source, target, edge_type). Nothing is collected but one emptiness bit a round. blast_radius() alone works
+project by project, and collects the names of the largest.
 """
 
 from __future__ import annotations
 
+from array import array
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +19,10 @@ from ..session import cut, hot_keys, salted_join
 from .graph import of_types
 
 KEY = ["project", "id"]
+#: A project of more dependencies than this, repeats included, isn't gathered in one task to count its dependents.
+WHOLE_EDGES = 1_000_000
+#: Bits held by such a task over all components of a project (64 MB, or 64 bits a component where that is more).
+HELD_BITS = 2**29
 
 
 def _directed(edges: DataFrame, direction: str, types: tuple[str, ...] | None) -> DataFrame:
@@ -109,11 +118,23 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10, type
 
 def blast_radius(nodes: DataFrame, edges: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
     """project, id, n_dependents, blast of every node: the nodes that reach it (itself too when it lies on a cycle) and
-    their share of the project's nodes, at most 1.
-
-    Semi-naive closure over pairs. Its size is the number of (node, dependent) pairs, which the exact answer needs;
-    blast_radius_approx() stays linear in the edges each round."""
-    step = cut(of_types(edges, types).select("project", F.col("source").alias("up"), F.col("target").alias("down")).distinct())
+    their share of the project's nodes, at most 1. Edges without a project or an end are left out.
+
+    The dependents of a project of up to WHOLE_EDGES edges are counted in one task, as bits passed along the graph of its
+    strongly connected components, so no pair is listed. The closure of a larger one is made by joins."""
+    step = of_types(edges, types).select("project", F.col("source").alias("up"), F.col("target").alias("down")).dropna()
+    large = step.groupBy("project").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WHOLE_EDGES).select("project").collect()
+    rest = None
+    if large:  # at most one in WHOLE_EDGES edges
+        names = F.broadcast(nodes.sparkSession.createDataFrame(large, "project string"))
+        step, rest = step.join(names, "project", "left_anti"), step.join(names, "project", "left_semi")
+    counted = step.repartition("project").sortWithinPartitions("project").mapInArrow(_dependents(HELD_BITS), "project string, id string, n_dependents long")
+    return _shares(nodes, counted if rest is None else counted.unionByName(_closure(rest)))
+
+
+def _closure(step: DataFrame) -> DataFrame:
+    """project, id, n_dependents by a semi-naive closure over pairs; its size is the number of (node, dependent) pairs."""
+    step = cut(step.distinct())
     frontier = cut(step.select("project", "up", F.col("down").alias("id")))
     seen, rounds = frontier, 0
     while True:
@@ -125,7 +146,103 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, types: tuple[str, ...] | No
         seen = seen.unionByName(frontier)
         if rounds % 8 == 0:
             seen = cut(seen)
-    return _shares(nodes, seen.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_dependents")))
+    return seen.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_dependents"))
+
+
+def _dependents(bits: int):
+    """project, up, down sorted by project -> project, id, n_dependents of the nodes with a dependency on them."""
+
+    def run(batches):
+        at, number, ups, downs = None, {}, array("i"), array("i")
+
+        def rows():
+            counts = dependent_counts(len(number), ups, downs, bits)
+            return pa.record_batch([pa.array([at] * len(number), pa.string()), pa.array(list(number), pa.string()), pa.array(counts, pa.int64())], names=["project", "id", "n_dependents"])
+
+        for b in batches:
+            for project, up, down in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if project != at:
+                    if number:
+                        yield rows()
+                    at, number, ups, downs = project, {}, array("i"), array("i")
+                ups.append(number.setdefault(up, len(number)))
+                downs.append(number.setdefault(down, len(number)))
+        if number:
+            yield rows()
+
+    return run
+
+
+def dependent_counts(n: int, ups, downs, bits: int) -> list[int]:
+    """For each of the nodes 0 to n - 1 the number of nodes that reach it along the edges ups -> downs.
+
+    Components come in topological order, each with one bit a node. A block of at most about ``bits`` bits over all
+    components is passed on at a time, so the memory is bounded whatever the graph; long chains take no more rounds."""
+    ups, downs = np.asarray(ups, np.int64), np.asarray(downs, np.int64)
+    part = np.array(_components(n, ups, downs), np.int64)
+    m = int(part.max()) + 1
+    above, below = part[ups], part[downs]
+    cyclic = np.zeros(m, bool)
+    cyclic[above[above == below]] = True
+    pairs = np.unique((below * m + above)[above != below])
+    first = np.searchsorted(pairs, np.arange(m + 1) * m).tolist()
+    above, cyclic = (pairs % m).tolist(), cyclic.tolist()
+    place = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=m))])
+    width = max(bits // m, 64)
+    counts = [0] * m
+    places = place.tolist()
+    for low in range(0, n, width):
+        high = min(low + width, n)
+        begin = int(np.searchsorted(place, low, side="right")) - 1  # nothing before it is reached from the block
+        held = [0] * m
+        for c in range(begin, m):
+            got = 0
+            for u in above[first[c] : first[c + 1]]:
+                got |= held[u]
+            x, y = max(places[c], low), min(places[c + 1], high)
+            own = got | ((1 << (y - low)) - (1 << (x - low))) if x < y else got
+            counts[c] += (own if cyclic[c] else got).bit_count()
+            held[c] = own
+    return [counts[c] for c in part.tolist()]
+
+
+def _components(n: int, ups: np.ndarray, downs: np.ndarray) -> list[int]:
+    """The strongly connected component of each node, numbered so that edges between components lead to higher ones
+    (Tarjan's algorithm against the edges, without recursion)."""
+    before = ups[np.argsort(downs, kind="stable")].tolist()
+    first = np.concatenate([[0], np.cumsum(np.bincount(downs, minlength=n))]).tolist()
+    following, met, low, part = first[:n], [0] * n, [0] * n, [-1] * n
+    open_, clock, found = [], 0, 0
+    for root in range(n):
+        if met[root]:
+            continue
+        clock += 1
+        met[root] = low[root] = clock
+        open_.append(root)
+        path = [root]
+        while path:
+            v = path[-1]
+            if following[v] < first[v + 1]:
+                u = before[following[v]]
+                following[v] += 1
+                if not met[u]:
+                    clock += 1
+                    met[u] = low[u] = clock
+                    open_.append(u)
+                    path.append(u)
+                elif part[u] < 0:
+                    low[v] = min(low[v], met[u])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[v])
+            if low[v] == met[v]:
+                u = None
+                while u != v:
+                    u = open_.pop()
+                    part[u] = found
+                found += 1
+    return part
 
 
 def _shares(nodes: DataFrame, counted: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..operators import graph, risk, smells, traversal, views
-from ..session import cut, table
+from ..session import cut, keep, table
 
 KEY = ["project", "id"]
 _COLUMNS = ["project", "id", "node_type", "label", "file", "summary", "complexity", "layer", "risk_score", "risk_factors", "structural_warnings", "security_warnings", "metadata", "end_line", "tags", "ord"]
@@ -62,6 +62,17 @@ def load(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return load_nodes(spark, d), load_edges(spark, d)
 
 
+def load_plain(spark: SparkSession, d: str, types: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The normalised graph with the columns that closures and scores need, and edges of the types only. Where the whole
+    one is at hand, that."""
+    if (spark.sparkContext.applicationId, d, "edges") in _HELD:
+        v, e = load(spark, d)
+        return v, graph.of_types(e, types)
+    columns = ["project", "id", "node_type", "label", "file", "structural_warnings", "ord"]
+    v = _held(spark, d, "plain nodes", lambda: keep(graph.latest_nodes(table(spark, d, "nodes").select(*columns))))
+    return v, _held(spark, d, f"plain edges {types}", lambda: keep(graph.plain_edges(table(spark, d, "edges"), v, types)))
+
+
 def domain_of(v: DataFrame) -> DataFrame:
     """A function's domain: the second step of its path."""
     step = F.split(F.col("file"), "/")
@@ -321,8 +332,8 @@ n AS (SELECT project, count(*) AS k FROM V GROUP BY 1), k AS (SELECT project, id
 SELECT V.project, V.id, coalesce(k.k, 0) AS n_dependents, round(least(coalesce(k.k, 0) / n.k, 1.0), 6) AS blast FROM V JOIN n ON n.project = V.project LEFT JOIN k ON k.project = V.project AND k.id = V.id""")
 def blast_radius(spark, d):
     """Transitive importers of every node."""
-    v, e = load(spark, d)
-    return traversal.blast_radius(v, e, ("imports", "depends_on"))
+    v, e = load_plain(spark, d, ("imports", "depends_on"))
+    return traversal.blast_radius(v, e)
 
 
 @query(GRAPH_SQL + """, I AS (SELECT DISTINCT project, source, target FROM E WHERE edge_type IN ('imports', 'depends_on') AND source <> target),

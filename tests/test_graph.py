@@ -134,3 +134,50 @@ def test_blast_radius_approx_follows_long_paths(spark):
     e = spark.range(70).selectExpr("'p' as project", "cast(id as string) as source", "cast(id + 1 as string) as target", "'imports' as edge_type")
     got = {r.id: r.n_dependents for r in traversal.blast_radius_approx(v, e).collect()}
     assert got["0"] == 0 and got["1"] == 1 and 68 <= got["70"] <= 72
+
+
+def test_blast_radius_lists_no_pairs(spark, monkeypatch):
+    """A cycle of 3,000 nodes with a tail of 1,000: 13 million pairs, 4,000 rounds of joins."""
+
+    def written(df):
+        raise AssertionError("pairs are written")
+
+    monkeypatch.setattr(traversal, "cut", written)
+    v = spark.range(4000).selectExpr("'p' as project", "cast(id as string) as id")
+    e = spark.range(4000).selectExpr("'p' as project", "cast(id as string) as source", "cast(if(id = 2999, 0, id + 1) as string) as target", "'imports' as edge_type").where("source <> '3999'")
+    got = {int(r.id): r.n_dependents for r in traversal.blast_radius(v, e.unionByName(e.where("source = '5'").selectExpr("project", "source", "'3000' as target", "edge_type"))).collect()}
+    assert got == {i: 3000 if i < 3001 else i for i in range(4000)}
+
+
+def test_blast_radius_of_large_projects_is_the_same(spark, monkeypatch):
+    ids_ = [f"n{i}" for i in range(40)]
+    pairs = [(f"n{i}", f"n{(7 * i + k) % 40}") for i in range(0, 40, 3) for k in (1, 5)] + [("n3", "n3"), ("n0", "n1"), ("n0", "n1")]
+    v, e = made(spark, ids_, pairs)
+    v, e = v.unionByName(v.where("id < 'n2'").selectExpr("'q' as project", *v.columns[1:])), e.unionByName(e.where("source < 'n2'").selectExpr("edge_id", "'q' as project", *e.columns[2:]))
+    columns = ("project", "id", "n_dependents", "blast")
+    whole = ids(traversal.blast_radius(v, e), *columns)
+    monkeypatch.setattr(traversal, "WHOLE_EDGES", 20)
+    assert whole == ids(traversal.blast_radius(v, e), *columns) and len({r[2] for r in whole}) > 5
+
+
+@pytest.mark.parametrize("bits", [1, 2**20])
+def test_dependents_counted_in_blocks(bits):
+    import random
+
+    pick = random.Random(3)
+    for n in (1, 2, 30, 200):
+        pairs = [(pick.randrange(n), pick.randrange(n)) for _ in range(n + n // 4)]
+        reach = {i: {d for u, d in pairs if u == i} for i in range(n)}
+        for _ in range(n):
+            reach = {i: r.union(*(reach[d] for d in r)) for i, r in reach.items()}
+        assert traversal.dependent_counts(n, *zip(*pairs), bits) == [sum(i in r for r in reach.values()) for i in range(n)]
+
+
+@pytest.mark.parametrize("hot_rows", [200_000, 3])
+def test_plain_edges_are_the_normalised_ones(spark, hot_rows):
+    pairs = [("file:a", "file:b"), ("file:file:a", "file:b"), ("file:a", "file:gone"), (None, "file:a"), ("", "file:a"), ("file:a", "file:a.test.ts", "tested_by"), ("file:a.test.ts", "file:a", "tested_by")]
+    v, e = made(spark, ["file:a", "file:file:a", "file:a.test.ts", "file:b"], [*pairs, *[(f"file:{x}", "file:b", "calls") for x in ("a", "b", "a")]])
+    n, m = graph.normalize(v, e)
+    columns = ("project", "source", "target", "edge_type")
+    assert ids(graph.plain_edges(e, n, None, hot_rows), *columns) == ids(m, *columns)
+    assert ids(graph.plain_edges(e, n, ("calls",), hot_rows), *columns) == ids(m.where("edge_type = 'calls'"), *columns)
