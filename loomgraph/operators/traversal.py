@@ -2,8 +2,8 @@
 
 Every loop joins the frontier with the edges, keeps what is new by an anti join with what was seen, and cuts the
 lineage through the checkpoint folder; it stops when the frontier is empty or a depth bound is reached. Keys are
-(project, id); edges are (project, source, target, edge_type). Nothing is collected but one emptiness bit a round. blast_radius() alone works
-project by project, and collects the names of the largest.
+(project, id); edges are (project, source, target, edge_type). Nothing is collected but one emptiness bit a round. blast_radius() and
+on_short_cycles() work project by project, and collect the names of the largest.
 """
 
 from __future__ import annotations
@@ -122,16 +122,41 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, types: tuple[str, ...] | No
 
     The dependents of a project of up to WHOLE_EDGES edges are counted in one task, as bits passed along the graph of its
     strongly connected components, so no pair is listed. The closure of a larger one is made by joins."""
-    step = of_types(edges, types).select("project", F.col("source").alias("up"), F.col("target").alias("down")).dropna()
-    large = step.groupBy("project").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WHOLE_EDGES).select("project").collect()
-    rest = None
-    if large:  # at most one in WHOLE_EDGES edges
-        names = F.broadcast(nodes.sparkSession.createDataFrame(large, "project string"))
-        step, rest = step.join(names, "project", "left_anti"), step.join(names, "project", "left_semi")
-    counted = step.repartition("project").sortWithinPartitions("project").mapInArrow(_dependents(HELD_BITS), "project string, id string, n_dependents long")
+    step, rest = _whole_projects(of_types(edges, types).select("project", F.col("source").alias("up"), F.col("target").alias("down")).dropna())
+
+    def counts(project, names, ups, downs):
+        return pa.record_batch([pa.array([project] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(dependent_counts(len(names), ups, downs, HELD_BITS), pa.int64())], names=[*KEY, "n_dependents"])
+
+    counted = _each_project(step, counts, "project string, id string, n_dependents long")
     return _shares(nodes, counted if rest is None else counted.unionByName(_closure(rest)))
 
 
+def on_short_cycles(edges: DataFrame, types: tuple[str, ...] = ("imports", "depends_on"), longest: int = 6) -> DataFrame:
+    """(project, id) of the nodes of simple_cycles(), which are those whose shortest cycle has at most ``longest`` edges.
+    No cycle is listed but in projects of more than WHOLE_EDGES edges."""
+    e = of_types(edges, types).where("source <> target")
+    step, rest = _whole_projects(e.select("project", F.col("source").alias("up"), F.col("target").alias("down")).dropna())
+
+    def met(project, names, ups, downs):
+        found = [names[v] for v in short_cycle_nodes(len(names), ups, downs, longest, HELD_BITS)]
+        return pa.record_batch([pa.array([project] * len(found), pa.string()), pa.array(found, pa.string())], names=KEY)
+
+    found = _each_project(step, met, "project string, id string")
+    if rest is None:
+        return found
+    listed = simple_cycles(rest.select("project", F.col("up").alias("source"), F.col("down").alias("target"), F.lit(types[0]).alias("edge_type")), types, longest)
+    return found.unionByName(listed.select("project", F.explode("cycle").alias("id")).distinct())
+
+
+def _whole_projects(step: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The edges of projects of up to WHOLE_EDGES edges, and those of larger ones if there are any."""
+    large = step.groupBy("project").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WHOLE_EDGES).select("project").collect()
+    if not large:
+        return step, None
+    names = F.broadcast(step.sparkSession.createDataFrame(large, "project string"))  # at most one in WHOLE_EDGES edges
+    return step.join(names, "project", "left_anti"), step.join(names, "project", "left_semi")
+
+
 def _closure(step: DataFrame) -> DataFrame:
     """project, id, n_dependents by a semi-naive closure over pairs; its size is the number of (node, dependent) pairs."""
     step = cut(step.distinct())
@@ -149,28 +174,24 @@ def _closure(step: DataFrame) -> DataFrame:
     return seen.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_dependents"))
 
 
-def _dependents(bits: int):
-    """project, up, down sorted by project -> project, id, n_dependents of the nodes with a dependency on them."""
+def _each_project(step: DataFrame, made, ddl: str) -> DataFrame:
+    """The batches that made(project, names, ups, downs) gives for the edges (project, up, down) of each project, whose ends
+    are places in names."""
 
     def run(batches):
         at, number, ups, downs = None, {}, array("i"), array("i")
-
-        def rows():
-            counts = dependent_counts(len(number), ups, downs, bits)
-            return pa.record_batch([pa.array([at] * len(number), pa.string()), pa.array(list(number), pa.string()), pa.array(counts, pa.int64())], names=["project", "id", "n_dependents"])
-
         for b in batches:
             for project, up, down in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if project != at:
                     if number:
-                        yield rows()
+                        yield made(at, list(number), ups, downs)
                     at, number, ups, downs = project, {}, array("i"), array("i")
                 ups.append(number.setdefault(up, len(number)))
                 downs.append(number.setdefault(down, len(number)))
         if number:
-            yield rows()
+            yield made(at, list(number), ups, downs)
 
-    return run
+    return step.repartition("project").sortWithinPartitions("project").mapInArrow(run, ddl)
 
 
 def dependent_counts(n: int, ups, downs, bits: int) -> list[int]:
@@ -206,6 +227,42 @@ def dependent_counts(n: int, ups, downs, bits: int) -> list[int]:
     return [counts[c] for c in part.tolist()]
 
 
+def short_cycle_nodes(n: int, ups, downs, longest: int, bits: int) -> list[int]:
+    """The nodes with a way back to themselves of 2 to ``longest`` edges ups -> downs: in each strongly connected component
+    bits of its nodes, a block at a time, are passed on that many times."""
+    ups, downs = np.asarray(ups, np.int64), np.asarray(downs, np.int64)
+    part = np.array(_components(n, ups, downs), np.int64)
+    inner = (part[ups] == part[downs]) & (ups != downs)
+    pairs = np.unique(np.stack([part[ups], ups, downs], 1)[inner], axis=0)
+    found = []
+    for edges in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0])) + 1) if len(pairs) else []:
+        members, place = np.unique(edges[:, 1:], return_inverse=True)
+        size, place = len(members), place.reshape(-1, 2).tolist()
+        if size <= longest:  # any cycle there is as short
+            found += members.tolist()
+            continue
+        before = [[] for _ in range(size)]
+        for u, v in place:
+            before[v].append(u)
+        width = max(bits // size, 64)
+        for low in range(0, size, width):
+            left = range(low, min(low + width, size))
+            held = [1 << (v - low) if v in left else 0 for v in range(size)]
+            for _ in range(longest):
+                ahead = []
+                for near in before:
+                    got = 0
+                    for u in near:
+                        got |= held[u]
+                    ahead.append(got)
+                held = ahead
+                found += [int(members[v]) for v in left if held[v] >> (v - low) & 1]
+                left = [v for v in left if not held[v] >> (v - low) & 1]
+                if not left:
+                    break
+    return found
+
+
 def _components(n: int, ups: np.ndarray, downs: np.ndarray) -> list[int]:
     """The strongly connected component of each node, numbered so that edges between components lead to higher ones
     (Tarjan's algorithm against the edges, without recursion)."""

@@ -469,9 +469,8 @@ array_to_string(list_filter([CASE WHEN coupling > 0.6 THEN 'high_coupling' END,
 @query(GRAPH_SQL + _RISK)
 def risk_scores(spark, d):
     """Risk of every node over all edges, layers read as tours, with its factors."""
-    v, e = load(spark, d)
-    blast = cut(traversal.blast_radius(v, e))
-    circular = traversal.simple_cycles(e).select("project", F.explode("cycle").alias("id")).distinct()
+    v, e = load_plain(spark, d)
+    blast, circular = traversal.blast_radius(v, e), traversal.on_short_cycles(e)
     found = risk.risk_scores(v, e, blast, changes_of(spark, d), views.tour_counts(layer_steps(spark, d)), circular)
     return found.withColumn("factors", F.array_join("factors", ","))
 

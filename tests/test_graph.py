@@ -181,3 +181,37 @@ def test_plain_edges_are_the_normalised_ones(spark, hot_rows):
     columns = ("project", "source", "target", "edge_type")
     assert ids(graph.plain_edges(e, n, None, hot_rows), *columns) == ids(m, *columns)
     assert ids(graph.plain_edges(e, n, ("calls",), hot_rows), *columns) == ids(m.where("edge_type = 'calls'"), *columns)
+
+
+def test_short_cycles_are_met_without_a_list(spark, monkeypatch):
+    ring = [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)]
+    pairs = [*ring, ("a", "b"), ("b", "a"), ("b", "r0"), ("d", "d"), ("r2", "x"), ("x", "r0"), *[(f"s{i}", f"s{(i + 1) % 6}") for i in range(6)], ("s0", "t"), ("u", "s0")]
+    _, e = made(spark, [], [*pairs, ("r6", "r5", "calls"), ("d", "a", "depends_on"), ("a", "d", "depends_on")])
+    listed = {i for c in ids(traversal.simple_cycles(e), "cycle") for i in c}
+    with monkeypatch.context() as m:
+        m.setattr(traversal, "WHOLE_EDGES", 1)
+        assert ids(traversal.on_short_cycles(e), "id") == sorted(listed)
+
+    def written(df):
+        raise AssertionError("cycles are written")
+
+    monkeypatch.setattr(traversal, "cut", written)
+    assert ids(traversal.on_short_cycles(e), "id") == sorted(listed) == sorted(["a", "b", "d", "r0", "r1", "r2", "x", *[f"s{i}" for i in range(6)]])
+
+
+@pytest.mark.parametrize("bits", [1, 2**20])
+def test_short_cycles_in_blocks(bits):
+    import random
+
+    pick = random.Random(5)
+    for n, longest in ((2, 2), (40, 3), (300, 6)):
+        pairs = [(pick.randrange(n), pick.randrange(n)) for _ in range(n + n // 2)]
+        after = {i: {d for u, d in pairs if u == i != d} for i in range(n)}
+        want = set()
+        for v in range(n):
+            at = {v}
+            for _ in range(longest):
+                at = {d for u in at for d in after[u]}
+                want |= at & {v}
+        got = traversal.short_cycle_nodes(n, *zip(*pairs), longest, bits)
+        assert sorted(got) == sorted(want)
